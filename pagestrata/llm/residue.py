@@ -1,0 +1,235 @@
+"""Template residue, filler and error-page text (problem 7).
+
+Method: three character n-gram models of residue (unfilled slots, filler, notices) are fitted on the
+seed texts below, one of natural prose on the visible text of the whole corpus; per block, windows of
+the log-likelihood ratio against prose localise residue, and a page is excluded by coverage. Slots are
+compared in the shape of the text (letters become ``x``), so unseen slot names count as well.
+N-grams are hashed into ``2**BITS`` cells: the model has a fixed size however large the corpus is, its
+counts are summed per task before the shuffle, and only these cells reach the driver.
+
+Only blocks of the main body count (:mod:`main_text`), text in ``code`` or ``pre`` does not, and a
+notice in ``noscript`` counts only where the page has no text of its own.
+
+Cases: null or empty html is no residue (no row); an empty table gives an empty prose model and no
+rows; repeated deliveries give one row; further columns are ignored.
+"""
+
+from __future__ import annotations
+
+import html as _html
+import re
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagestrata.functions.html_scan import scan_blocks, visible_text
+from pagestrata.llm.main_text import block_features, main_tree
+
+BITS = 18
+CELLS = 1 << BITS
+SLOT, FILLER, NOTICE = 0, 1, 2
+_BACKOFF = 0.3
+
+# Ways in which template systems write a slot; X stands for a name.
+SLOT_FORMS = ("{{ X }}", "{{X}}", "{{{X}}}", "{% block X %}{% endblock %}", "{% X %}", "<%= X %>", "<% X %>", "${X}", "{$X}", "[[+X]]", "[[X]]", "[X_X]", "[X.X]", "%X%", "%%X%%", "@@X@@", "__X__", "##X##", "<?= X ?>", "{X_X}", "#{X}")
+SLOT_NAMES = ("title", "page.title", "post_content", "NAME", "lead", "news_item.lead", "article_body", "user.first_name")
+# Texts that hold a place for missing content.
+SLOT_TEXTS = ("[insert text here]", "[insert title here]", "[your text here]", "[object Object]", "undefined undefined")
+FILLERS = (
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
+    "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat",
+    "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur",
+    "excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
+    "your text goes here. your text goes here. sample text. placeholder text. text goes here. your headline here", "todo: add description. todo: add text. todo: write this section. insert content here", "todo: додати опис. todo: додати текст",
+    "прізвище ім’я, посада", "тут буде ваш текст. тут буде текст. текст-заповнювач. заголовок сторінки", "hier steht ihr text. hier kommt der text. platzhalter text. blindtext. überschrift hier", "todo: beschreibung ergänzen", "todo: dodać opis",
+    "tu wpisz tekst. tutaj będzie tekst. przykładowy tekst. twój nagłówek tutaj. imię i nazwisko, stanowisko", "此处填写文字。示例文本。在此输入内容。这里是标题。待补充", "name surname, position", "vorname nachname, position", "undefined. null. nan. n/a",
+    "qwerty asdf zxcv qwerty asdf zxcv xxx xxx .... ....", "йцукен фівапр ячсмить йцукен фівапр ячсмить", "приклад тексту сторінки. приклад тексту.", "example text of the page. dummy text. test test test.",
+)
+NOTICES = (
+    "page not found", "404 not found", "404 – page not found", "error 404", "error 500", "oops! that page can’t be found.", "sorry, the page you are looking for does not exist or has been moved.", "the requested url was not found on this server.",
+    "the requested address was not served by this host.", "the server is temporarily unable to answer your request.", "access denied", "access forbidden", "403 forbidden", "bad request", "400 bad request", "http status 503 – service unavailable",
+    "503 service unavailable", "500 internal server error", "502 bad gateway", "504 gateway time-out", "http error 504 – gateway timeout", "websrv/2.22", "nginx/1.18.0", "apache server at port 80", "under construction", "account suspended",
+    "this account has been suspended", "contact your hosting provider for details.", "we will be back soon!", "the site is down for maintenance", "error establishing a database connection", "database error", "something went wrong. please try again later.",
+    "an error occurred. please try again later.", "this page requires scripts. please turn them on and reload.", "you need to enable javascript to run this app.", "please enable javascript to view this page.", "javascript is disabled in your browser.",
+    "your browser does not support scripts. turn them on and reload the page.", "checking your browser before access. please allow scripts and wait.", "please wait while we verify your browser", "session expired. please log in again.",
+    "warning: include(/srv/www/c0/press.php): failed to open stream: no such file or directory in /srv/www/c0/press.php on line 388", "fatal error: call to undefined function get_docs() in /srv/www/c0/regions.php:330",
+    "notice: undefined index: docs in /srv/www/c0/program.php on line 12", "sqlstate[hy000] [2002] connection refused (/srv/www/c0/press.php)", "parse error: syntax error, unexpected end of file in /srv/www/index.php on line 7",
+    "traceback (most recent call last): file \"/srv/www/app.py\", line 12, in render keyerror: 'title'", "uncaught exception: nullpointerexception at java.lang.thread.run(thread.java:748)", "stack trace: #0 /srv/www/index.php(12): main() thrown",
+    "mysql error: you have an error in your sql syntax; check the manual", "undefined variable in template", "attributeerror: 'nonetype' object has no attribute", "typeerror: cannot read property of undefined",
+    "сторінку не знайдено", "404 – сторінку не знайдено", "помилка 404", "на жаль, такої сторінки не існує або її переміщено.", "вибачте, сталася помилка. спробуйте пізніше.", "доступ заборонено", "сайт тимчасово на технічному обслуговуванні", "сайт на реконструкції",
+    "ми скоро повернемося!", "зверніться до хостинг-провайдера.", "цей обліковий запис призупинено", "внутрішня помилка сервера", "сервіс тимчасово недоступний", "помилка з’єднання з базою даних", "для роботи сайту потрібно увімкнути javascript.",
+    "увімкніть javascript", "ваш браузер не підтримує скрипти. увімкніть їх і оновіть сторінку.", "перевіряємо ваш браузер. дозвольте скрипти і зачекайте.",
+    "seite nicht gefunden", "die seite wurde nicht gefunden oder verschoben.", "diese seite existiert leider nicht oder wurde verschoben.", "zugriff verweigert", "es ist ein fehler aufgetreten. bitte versuchen sie es später erneut.", "wegen wartungsarbeiten nicht erreichbar",
+    "wir sind bald zurück!", "dieses konto wurde gesperrt", "interner serverfehler", "bitte aktivieren sie javascript, um diese seite zu sehen.", "ihr browser unterstützt keine skripte.", "entschuldigung, ein fehler ist aufgetreten.",
+    "nie znaleziono strony", "strona nie została znaleziona", "przepraszamy, taka strona nie istnieje lub została przeniesiona.", "dostęp zabroniony", "odmowa dostępu", "wystąpił błąd. spróbuj ponownie później.", "przerwa techniczna", "wkrótce wracamy!",
+    "konto zostało zawieszone", "błąd serwera", "aby zobaczyć tę stronę, włącz obsługę javascript.", "twoja przeglądarka nie obsługuje skryptów.",
+    "页面不存在", "抱歉，您访问的页面已被删除。", "找不到页面", "您访问的页面不存在", "访问被拒绝", "禁止访问", "服务器内部错误", "服务暂时不可用", "网站正在维护，请稍后再试", "出错了，请稍后重试。", "请启用javascript以查看此页面。", "您的浏览器不支持脚本，请启用后刷新。",
+)
+
+_FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
+
+
+@lru_cache(maxsize=2)
+def _folding(shape: bool) -> np.ndarray:
+    """By code point of the basic plane: lower case with digits as 0, or for shapes letters as x and digits as 0."""
+    out = np.arange(0x10000, dtype=np.uint32)
+    for c in range(0x10000):
+        x = chr(c)
+        if x.isdigit():
+            out[c] = 48
+        elif shape:
+            if x.isalpha():
+                out[c] = 120
+        elif len(x.lower()) == 1:
+            out[c] = ord(x.lower())
+    return out
+
+
+def _codes(text: str, shape: bool) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    table = _folding(shape)
+    if len(codes) and codes.max() > 0xFFFF:
+        return np.where(codes > 0xFFFF, np.uint32(120) if shape else codes, table[np.minimum(codes, 0xFFFF)])
+    return table[codes]
+
+
+def _grams(codes: np.ndarray) -> np.ndarray:
+    """The cell of the 4-gram that ends at each position; before the text stand blanks."""
+    padded = np.concatenate([np.full(3, 32, np.uint32), codes])
+    h = padded[3:] * _FACTORS[0]
+    for k in (1, 2, 3):
+        h ^= (padded[3 - k : len(padded) - k] * _FACTORS[k]) >> np.uint32(k)
+    h *= np.uint32(0x9E3779B1)
+    return (h >> np.uint32(32 - BITS)).astype(np.int32)
+
+
+def _count(texts: list[str], shape: bool) -> np.ndarray:
+    out = np.zeros(CELLS)
+    for t in texts:
+        out += np.bincount(_grams(_codes(f" {t} ", shape)), minlength=CELLS)
+    return out
+
+
+def _seed_slots() -> list[str]:
+    return [f.replace("X", n) for f in SLOT_FORMS for n in SLOT_NAMES] + list(SLOT_TEXTS) * 8
+
+
+def prose_counts(pages: DataFrame, html_col: str = "html") -> tuple[np.ndarray, np.ndarray]:
+    """Cells of plain 4-grams and of shape 4-grams over the visible text of all pages."""
+
+    def run(batches):
+        plain, shape = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                text = "\n".join(" ".join(visible_text(x).split()) for x in batch.column(0).slice(start, 256).to_pylist() if x)
+                if text:
+                    plain += np.bincount(_grams(_codes(text, False)), minlength=CELLS)
+                    shape += np.bincount(_grams(_codes(text, True)), minlength=CELLS)
+        for kind, counts in enumerate((plain, shape)):
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at + kind * CELLS, pa.int32()), pa.array(counts[at], pa.int64())], names=["cell", "n"])
+
+    rows = pages.select(html_col).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * CELLS)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out[:CELLS], out[CELLS:]
+
+
+def ratio_tables(plain: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood ratios by cell of slots (shape), filler and notices (plain) against prose.
+
+    A residue model backs off to prose with weight ``_BACKOFF``: an n-gram that no seed has speaks against residue.
+    """
+
+    def ratio(res: np.ndarray, prose: np.ndarray) -> np.ndarray:
+        q = np.maximum((prose + 0.02) / (prose.sum() + 0.02 * CELLS), 2e-7)
+        return np.clip(np.log((1 - _BACKOFF) * res / res.sum() / q + _BACKOFF), -4, 7).astype(np.float32)
+
+    return ratio(_count(_seed_slots(), True), shape), ratio(_count(list(FILLERS), False), plain), ratio(_count(list(NOTICES), False), plain)
+
+
+def coverage(texts: list[str], tables: tuple[np.ndarray, np.ndarray, np.ndarray], window: int = 14, level: float = 0.8) -> np.ndarray:
+    """For each text: greatest slot window sum, share of the text in filler windows, share in notice windows."""
+    out = np.zeros((len(texts), 3))
+    if not texts:
+        return out
+    padded = [f" {t} " for t in texts]
+    sizes = np.array([len(t) for t in padded])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    joined = "".join(padded)
+    ends = np.repeat(starts + sizes, sizes)
+    place = np.arange(len(ends))
+    reach = np.minimum(place + window, ends)  # windows end with their text
+    whole = (reach - place == window) | (place == np.repeat(starts, sizes))  # shorter texts are one window
+    plain = _grams(_codes(joined, False))
+    slots = np.concatenate([[0.0], np.cumsum(tables[0][_grams(_codes(joined, True))], dtype=np.float64)])
+    out[:, 0] = np.maximum.reduceat(np.where(whole, slots[reach] - slots[place], -99.0), starts)
+    for k in (1, 2):
+        total = np.concatenate([[0.0], np.cumsum(tables[k][plain], dtype=np.float64)])
+        at = np.flatnonzero(whole & (total[reach] - total[place] > level * (reach - place)))
+        if not len(at):
+            continue
+        hit = np.bincount(at, minlength=len(place) + 1) - np.bincount(reach[at], minlength=len(place) + 1)
+        out[:, k] = np.add.reduceat(np.cumsum(hit)[:-1] > 0, starts) / sizes
+    return out
+
+
+def is_residue(found: np.ndarray, slot_sum: float = 18.5, share: float = 0.78) -> np.ndarray:
+    """Whether texts of this coverage are residue: a slot anywhere, or filler or notices over most of it."""
+    return (found[:, 0] > slot_sum) | (found[:, 1] >= share) | (found[:, 2] >= share)
+
+
+_NOSCRIPT = re.compile(r"(?is)<noscript\b[^>]*>(.*?)</noscript\s*>")
+_SILENT = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|title|head)\b.*?</\1\s*>")
+
+
+def residue_pages(pages: list[str | None], tables, tree, slot_sum: float = 18.5, share: float = 0.78) -> list[bool]:
+    """For each page, whether residue stands in place of its content, or of a part of it."""
+    out = [False] * len(pages)
+    texts, owners, scanned = [], [], {}
+    for i, page in enumerate(pages):
+        blocks = scan_blocks(page)
+        live = [j for j, b in enumerate(blocks) if b.parts and not b.code_chars]
+        if any(b.parts for b in blocks):
+            scanned[i] = blocks
+            for j in live:
+                text = blocks[j].text
+                if text:
+                    texts.append(text)
+                    owners.append((i, j))
+        elif page:
+            body = " ".join(visible_text(_SILENT.sub(" ", page)).split()) or " ".join(_html.unescape(re.sub(r"<[^>]*>", " ", " ".join(_NOSCRIPT.findall(page)))).split())
+            if body:
+                texts.append(body)
+                owners.append((i, -1))
+    suspects: dict[int, list[int]] = {}
+    distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+    yes = is_residue(coverage(list(distinct), tables), slot_sum, share)
+    for k in [k for k, t in enumerate(texts) if yes[distinct[t]]]:
+        suspects.setdefault(owners[k][0], []).append(owners[k][1])
+    for i, places in suspects.items():
+        if i not in scanned:
+            out[i] = True
+            continue
+        keep = tree.predict(np.array(block_features(scanned[i]))) >= 0.5
+        out[i] = any(keep[j] for j in places)
+    return out
+
+
+def find_residue(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", slot_sum: float = 18.5, share: float = 0.78) -> DataFrame:
+    """(id) of every page to exclude, once each."""
+    tables = ratio_tables(*prose_counts(pages, html_col))
+    tree = main_tree()
+    key_type = pages.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                got = residue_pages(part.column(1).to_pylist(), tables, tree, slot_sum, share)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(got, pa.bool_()))], names=[id_col])
+
+    return pages.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {key_type}").distinct()
