@@ -20,6 +20,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def load(path: str = DEFAULT_PATH) -> list[bytes]:
 
 def _chunks(batch, budget: int = 2_000_000, rows: int = 400):
     """Slices of a batch whose texts hold at most about ``budget`` bytes; a longer text stands alone."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, s in enumerate(sizes):
         if i > start and (total + s > budget or i - start >= rows):

@@ -27,6 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,11 +202,11 @@ def prefix_postings(sets: DataFrame, t: float, hot: np.ndarray, hot_counts: np.n
 
     def prefixes(table: pa.Table) -> pa.Table:
         head = table.filter(table.column("head"))
-        info = head.filter(pa.compute.is_null(head.column("c")))
+        info = head.filter(pc.is_null(head.column("c")))
         raw = lambda tb, c, kind: np.frombuffer(b"".join(tb.column(c).to_pylist()), dtype=kind)
         sig, first = np.unique(raw(info, "sigs", np.int64), return_index=True)
         n, h = raw(info, "a", np.int32)[first].astype(np.int64), raw(info, "b", np.int32)[first].astype(np.int64)
-        tail = table.filter(pa.compute.invert(table.column("head")))
+        tail = table.filter(pc.invert(table.column("head")))
         sigs, tokens, df = raw(tail, "sigs", np.int64), raw(tail, "a", np.uint64), raw(tail, "b", np.int32)
         at = np.searchsorted(sig, sigs)
         order = np.lexsort((tokens, df, at))
@@ -218,7 +219,7 @@ def prefix_postings(sets: DataFrame, t: float, hot: np.ndarray, hot_counts: np.n
         at, tokens, df, pos = at[keep], tokens[keep], df[keep].astype(np.int64), (unique[at] + rank)[keep] if len(at) else rank
         out = [(at, tokens, df, pos)]
         seen = set()
-        more = head.filter(pa.compute.is_valid(head.column("c")))
+        more = head.filter(pc.is_valid(head.column("c")))
         for s, c in zip(more.column("sigs").to_pylist(), more.column("c").to_pylist()):
             if s not in seen:
                 seen.add(s)
