@@ -195,17 +195,18 @@ def labelled_pages(seed: int = 7, pages: int = 120) -> list[tuple[str, list[int]
 
         def inline(text: str) -> str:
             w = text.split()
-            if len(w) > 3 and rng.random() < 0.25:
-                i = rng.randrange(len(w) - 2)
-                w[i] = link(w[i]) if rng.random() < 0.5 else f"<b>{w[i]}</b>"
+            if len(w) > 1 and rng.random() < 0.25:
+                i = rng.randrange(len(w) - 1)
+                w[i : i + 2] = [link(" ".join(w[i : i + 2])) if rng.random() < 0.5 else f"<b>{' '.join(w[i : i + 2])}</b>"]
             return " ".join(w)
 
         if rng.random() < 0.25:
-            if rng.random() < 0.7:
+            head = rng.choice(["h1", "h1", "h2", ""])
+            if head:
                 text = rng.choice(failures).format(say(1, 2))
-                add(f"<h1>{link(text) if rng.random() < 0.15 else text}</h1>")
-            for _ in range(rng.randint(1, 2)):
-                add(f"<p>{inline(rng.choice(failures).format(say(1, 3)))}</p>")
+                add(f"<{head}>{link(text) if rng.random() < 0.15 else inline(text)}</{head}>")
+            for _ in range(rng.randint(0 if head else 1, 2)):
+                add(f"<p>{inline(rng.choice(failures).format(say(1, 8)))}</p>")
             return "".join(parts), labels
         if rng.random() < 0.95:
             add(f"<h1>{inline(say(4, 9))}</h1>")
@@ -233,6 +234,10 @@ def labelled_pages(seed: int = 7, pages: int = 120) -> list[tuple[str, list[int]
     for _ in range(pages):
         layout = rng.randrange(5)
         pieces: list[tuple[str, tuple[str, list[int]]]] = []
+        if rng.random() < 0.04:  # nothing but an article
+            text, labels = article()
+            out.append((f"<html><body>\n{text}</body></html>", labels))
+            continue
         box = {0: "nav", 1: "div", 2: "td", 3: "", 4: "section"}[layout]
         if rng.random() < 0.3:
             pieces.append((rng.choice([box, "div"]) if box else "", (f"<p>{rng.choice(notes).format(say(1, 2))}</p>", [0])))

@@ -201,7 +201,9 @@ def residue_pages(pages: list[str | None], tables, tree, slot_sum: float = 18.5,
                     texts.append(text)
                     owners.append((i, j))
         elif page:
-            body = " ".join(visible_text(_SILENT.sub(" ", page)).split()) or " ".join(_html.unescape(re.sub(r"<[^>]*>", " ", " ".join(_NOSCRIPT.findall(page)))).split())
+            body = " ".join(visible_text(_SILENT.sub(" ", page)).split())
+            if len(body) < 40:  # nothing but odds and ends: then a notice for browsers without scripts stands alone
+                body = " ".join(_html.unescape(re.sub(r"<[^>]*>", " ", " ".join(_NOSCRIPT.findall(page)))).split()) or body
             if body:
                 texts.append(body)
                 owners.append((i, -1))
