@@ -291,6 +291,10 @@ def oracle_sql() -> dict[str, str]:
         "document_errors": f"""WITH d AS (SELECT html, url, wayback_metadata AS m, wayback_metadata.timestamp AS timestamp FROM html_document)
             SELECT coalesce(CASE WHEN html IS NULL OR regexp_matches(html, '^\\s*$') THEN 'HTML content is empty' WHEN NOT {_HTML_OK} THEN 'no HTML tags found' WHEN coalesce(url, '') = '' THEN 'URL is empty'
                 WHEN m IS NOT NULL AND NOT {_VALID_STAMP} THEN 'invalid capture timestamp' WHEN m IS NOT NULL AND m.original_url IS NULL THEN 'capture has no original url' END, 'none') AS error, count(*) AS n FROM d GROUP BY 1""",
+        "block_validity": r"""WITH b AS (SELECT *, regexp_replace(text, '^[\s\x{0B}\x{1c}-\x{1f}\x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{0B}\x{1c}-\x{1f}\x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g') AS t FROM text_block)
+            SELECT CASE WHEN coalesce(t, '') = '' THEN 'text is empty' WHEN length(t) > 100000 THEN 'text is too long'
+                WHEN NOT coalesce(element_type IN ('heading', 'paragraph', 'list_item', 'table_cell', 'table_header', 'quote', 'division', 'span', 'text'), false) THEN 'unknown element type'
+                WHEN NOT coalesce(hierarchy_level, 1) BETWEEN 1 AND 6 THEN 'level out of range' WHEN NOT coalesce(position >= 1, false) THEN 'position out of range' ELSE 'none' END AS error, count(*) AS n FROM b GROUP BY 1""",
         "page_titles": r"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM html_document",
         "stamp_validity": f"SELECT meta_id, {_VALID_STAMP} AS valid FROM snapshot_meta",
         "stamp_parts": r"""WITH t AS (SELECT DISTINCT timestamp FROM snapshot_meta), p AS (SELECT timestamp, CASE WHEN regexp_matches(timestamp, '^[0-9]{14}$') THEN try_strptime(timestamp, '%Y%m%d%H%M%S') END AS d FROM t)

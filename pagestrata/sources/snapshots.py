@@ -149,11 +149,11 @@ def pair_report(html_keys: DataFrame, meta_keys: DataFrame, names: int = 1000) -
     name = F.element_at(F.split("key", "/"), -1)
     sums = both.agg(F.count_if("h").alias("total_html_files"), F.count_if("m").alias("total_meta_files"), F.count_if(F.col("h") & F.col("m")).alias("paired_files"), F.count_if(F.col("h") & F.col("m").isNull()).alias("orphaned_html"), F.count_if(F.col("m") & F.col("h").isNull()).alias("orphaned_meta"))
 
-    def listed(lone: Column, alias: str) -> DataFrame:
-        return both.filter(lone).select(name.alias("n")).orderBy("n").limit(names).agg(F.array_sort(F.collect_list("n")).alias(alias))
+    def listed(lone: Column) -> Column:
+        return both.filter(lone).select(name.alias("n")).orderBy("n").limit(names).agg(F.array_sort(F.collect_list("n"))).scalar()
 
-    lists = listed(F.col("m").isNull(), "orphaned_html_files").join(listed(F.col("h").isNull(), "orphaned_meta_files"))
-    out = sums.join(lists).withColumn("is_valid", F.col("paired_files") > 0)
+    sums = sums.withColumns({"orphaned_html_files": listed(F.col("m").isNull()), "orphaned_meta_files": listed(F.col("h").isNull())})
+    out = sums.withColumn("is_valid", F.col("paired_files") > 0)
     return out.withColumn("error", F.when(~F.col("is_valid"), F.lit("No complete HTML-metadata pairs found")))
 
 
