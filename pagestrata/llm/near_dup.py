@@ -12,7 +12,7 @@ packed numpy blobs by hash range, never as exploded rows. Shingles in more than
 sets (site furniture) are not shuffled at all: they stand last in the order, their number is bounded by
 average set size / hot_share. A set can have a partner only if a share t of its shingles occurs in
 other sets; the others leave after the first round trip. Long lists are cut into tiles. Every filter
-is exact: the result is that of comparing all pairs, up to 64-bit hash collisions.
+is exact: the result is that of comparing all pairs, up to hash collisions.
 
 Classes of at most ``expand`` members give all their pairs; of larger classes every member is paired
 with the smallest id of the class, which stands for the class in its links to other classes.
@@ -27,14 +27,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.functions.html_scan import visible_text, words
 from pagestrata.session import stored
 
+_LOW = (1 << 48) - 1
+_HOME = "home int, kind int, sigs binary, a binary, b binary, c binary"
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -126,6 +128,46 @@ def _is_hot(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
 
 
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in a sorted array, and its end."""
+    return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+
+
+def _pack(x: np.ndarray, low: int | None = None) -> bytes:
+    """An array as compressed planes of bytes; ``low`` keeps only so many low bytes of each value."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :low]
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def _unpack(raw: bytes, kind, low: int | None = None) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(low or width, -1).T
+    out = np.zeros((len(planes), width), dtype=np.uint8)
+    out[:, : planes.shape[1]] = planes
+    return out.view(kind).ravel()
+
+
+def _grade(df: np.ndarray) -> np.ndarray:
+    """Document frequency in one byte, eight steps to a doubling."""
+    return np.minimum(255, np.floor(8 * np.log2(df))).astype(np.uint8)
+
+
+def _most(grade: np.ndarray) -> np.ndarray:
+    """The greatest frequency of a grade."""
+    return np.ceil(2.0 ** ((grade.astype(np.float64) + 1) / 8)).astype(np.int64)
+
+
+def _slices(batch, tokens: int = 1_000_000):
+    """Slices of a batch (sig, n, tokens) with about so many tokens each."""
+    total = np.cumsum(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        base = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, base + tokens)))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _flat(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch (sig, n, tokens), each signature once: signatures, sizes, all tokens, owner of each token."""
     sig, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
@@ -142,96 +184,111 @@ def prefix_postings(sets: DataFrame, t: float, hot: np.ndarray, hot_counts: np.n
 
     def spread(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 4000):
-                sig, _, tokens, owner = _flat(batch.slice(start, 4000))
+            for part in _slices(batch):
+                sig, _, tokens, owner = _flat(part)
                 cold = ~_is_hot(tokens, hot)
                 tokens, owner = tokens[cold], owner[cold]
+                order = np.argsort(tokens)
+                tokens, owner = tokens[order], owner[order]
                 bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, tokens, sigs = bucket[order], tokens[order], sig[owner[order]]
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                edges = np.concatenate([[0], cuts, [len(bucket)]]) if len(bucket) else np.array([0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[edges[:-1]], pa.int32()), pa.array([tokens[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()), pa.array([sigs[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())],
-                    names=["bucket", "tokens", "sigs"],
-                )
+                edges = _edges(bucket)
+                rows = []
+                for a, b in zip(edges, edges[1:]):
+                    used, local = np.unique(owner[a:b], return_inverse=True)
+                    rows.append((int(bucket[a]), _pack(tokens[a:b]), _pack(local.astype(np.uint16 if len(used) <= 65536 else np.uint32)), len(used) <= 65536, sig[used].tobytes()))
+                cols = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.binary())], names=["bucket", "tokens", "owners", "short", "sigs"])
 
     def count(table: pa.Table) -> pa.Table:
-        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.uint64)
-        sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), dtype=np.int64)
+        tokens, sigs = [], []
+        for t, o, short, s in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "short", "sigs"))):
+            tokens.append(_unpack(t, np.uint64))
+            sigs.append(np.frombuffer(s, dtype=np.int64)[_unpack(o, np.uint16 if short else np.uint32)])
+        tokens, sigs = np.concatenate(tokens), np.concatenate(sigs)
         order = np.lexsort((sigs, tokens))
         tokens, sigs = tokens[order], sigs[order]
         if len(tokens):  # equal sets seen by several tasks
             fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (sigs[1:] != sigs[:-1])])
             tokens, sigs = tokens[fresh], sigs[fresh]
-        _, inverse, df = np.unique(tokens, return_inverse=True, return_counts=True)
-        df = df[inverse] if len(tokens) else np.empty(0, np.int64)
+        starts = _edges(tokens)
+        df = np.repeat(np.diff(starts), np.diff(starts))
         shared = df >= 2
-        tokens, sigs, df = tokens[shared], sigs[shared], df[shared].astype(np.int32)
+        tokens, sigs, grade = tokens[shared], sigs[shared], _grade(df[shared])
         home = (sigs.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        home, tokens, sigs, df = home[order], tokens[order], sigs[order], df[order]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(home)) + 1, [len(home)]]) if len(home) else np.array([0])
-        pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
-        return pa.table({"home": pa.array(home[edges[:-1]], pa.int32()), "head": pa.array([False] * (len(edges) - 1), pa.bool_()), "sigs": pack(sigs), "a": pack(tokens), "b": pack(df), "c": pa.array([None] * (len(edges) - 1), pa.binary())})
+        order = np.lexsort((sigs, home))
+        home, tokens, sigs, grade = home[order], tokens[order], sigs[order], grade[order]
+        edges = _edges(home)
+        out = {c: [] for c in ("sigs", "a", "b", "c")}
+        for a, b in zip(edges, edges[1:]):
+            ends = _edges(sigs[a:b])
+            out["sigs"].append(sigs[a:b][ends[:-1]].tobytes())
+            out["a"].append(_pack(np.diff(ends).astype(np.uint32)))
+            out["b"].append(_pack(tokens[a:b], 6))
+            out["c"].append(_pack(grade[a:b]))
+        n = len(edges) - 1
+        return pa.table({"home": pa.array(home[edges[:-1]], pa.int32()), "kind": pa.array([2] * n, pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
     def heads(batches):
         """Of each set its size and number of hot shingles; where these alone reach the least overlap, the first of them."""
         for batch in batches:
-            for start in range(0, batch.num_rows, 4000):
-                sig, n, tokens, owner = _flat(batch.slice(start, 4000))
+            for part in _slices(batch):
+                sig, n, tokens, owner = _flat(part)
                 is_hot = _is_hot(tokens, hot)
                 h = np.bincount(owner[is_hot], minlength=len(sig))
                 spare = h - _need(n, t) + 1
-                rows = []
                 home = (sig.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                full = np.flatnonzero(spare > 0)
                 starts = np.concatenate([[0], np.cumsum(n)])
                 order = np.argsort(home, kind="stable")
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(home[order])) + 1, [len(order)]]) if len(order) else np.array([0])
+                edges = _edges(home[order])
+                rows = []
                 for a, b in zip(edges, edges[1:]):
                     at = order[a:b]
-                    rows.append((int(home[at[0]]), sig[at].tobytes(), n[at].astype(np.int32).tobytes(), h[at].astype(np.int32).tobytes(), None))
-                for i in full:
-                    own = tokens[starts[i] : starts[i + 1]]
-                    own = own[is_hot[starts[i] : starts[i + 1]]]
+                    rows.append((int(home[at[0]]), 0, sig[at].tobytes(), _pack(n[at].astype(np.uint32)), _pack(h[at].astype(np.uint32)), None))
+                for i in np.flatnonzero(spare > 0):
+                    own = tokens[starts[i] : starts[i + 1]][is_hot[starts[i] : starts[i + 1]]]
                     rank = hot_rank[np.searchsorted(hot, own)]
-                    rows.append((int(home[i]), sig[i : i + 1].tobytes(), None, None, own[np.argsort(rank)][: spare[i]].tobytes()))
-                cols = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([True] * len(rows), pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["home", "head", "sigs", "a", "b", "c"])
+                    rows.append((int(home[i]), 1, sig[i : i + 1].tobytes(), None, None, own[np.argsort(rank)][: spare[i]].tobytes()))
+                cols = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["home", "kind", "sigs", "a", "b", "c"])
 
     def prefixes(table: pa.Table) -> pa.Table:
-        head = table.filter(table.column("head"))
-        info = head.filter(pc.is_null(head.column("c")))
-        raw = lambda tb, c, kind: np.frombuffer(b"".join(tb.column(c).to_pylist()), dtype=kind)
-        sig, first = np.unique(raw(info, "sigs", np.int64), return_index=True)
-        n, h = raw(info, "a", np.int32)[first].astype(np.int64), raw(info, "b", np.int32)[first].astype(np.int64)
-        tail = table.filter(pc.invert(table.column("head")))
-        sigs, tokens, df = raw(tail, "sigs", np.int64), raw(tail, "a", np.uint64), raw(tail, "b", np.int32)
-        at = np.searchsorted(sig, sigs)
-        order = np.lexsort((tokens, df, at))
-        at, tokens, df = at[order], tokens[order], df[order]
+        sigs, sizes, hots, at, tokens, grades, more = [], [], [], [], [], [], {}
+        tails = []
+        for kind, s, a, b, c in zip(*(table.column(x).to_pylist() for x in ("kind", "sigs", "a", "b", "c"))):
+            if kind == 0:
+                sigs.append(np.frombuffer(s, dtype=np.int64))
+                sizes.append(_unpack(a, np.uint32))
+                hots.append(_unpack(b, np.uint32))
+            elif kind == 1:
+                more[np.frombuffer(s, dtype=np.int64)[0]] = np.frombuffer(c, dtype=np.uint64)
+            else:
+                tails.append((s, a, b, c))
+        sig, first = np.unique(np.concatenate(sigs), return_index=True)
+        n, h = (np.concatenate(x)[first].astype(np.int64) for x in (sizes, hots))
+        for s, a, b, c in tails:
+            at.append(np.repeat(np.searchsorted(sig, np.frombuffer(s, dtype=np.int64)), _unpack(a, np.uint32)))
+            tokens.append(_unpack(b, np.uint64, 6))
+            grades.append(_unpack(c, np.uint8))
+        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+        at, tokens, grades = join(at, np.int64), join(tokens, np.uint64), join(grades, np.uint8)
+        order = np.lexsort((tokens, grades, at))
+        at, tokens, grades = at[order], tokens[order], grades[order]
         cold = np.bincount(at, minlength=len(sig))
         rank = np.arange(len(at)) - np.concatenate([[0], np.cumsum(cold)])[at] if len(at) else at
         unique = n - cold - h
         reach = cold + h - _need(n, t) + 1
         keep = rank < reach[at] if len(at) else np.zeros(0, bool)
-        at, tokens, df, pos = at[keep], tokens[keep], df[keep].astype(np.int64), (unique[at] + rank)[keep] if len(at) else rank
+        at, tokens, df, pos = at[keep], tokens[keep], _most(grades[keep]), (unique[at] + rank)[keep] if len(at) else rank
         out = [(at, tokens, df, pos)]
-        seen = set()
-        more = head.filter(pc.is_valid(head.column("c")))
-        for s, c in zip(more.column("sigs").to_pylist(), more.column("c").to_pylist()):
-            if s not in seen:
-                seen.add(s)
-                own = np.frombuffer(c, dtype=np.uint64)
-                i = int(np.searchsorted(sig, np.frombuffer(s, dtype=np.int64)[0]))
-                out.append((np.full(len(own), i), own, hot_counts[np.searchsorted(hot, own)], unique[i] + cold[i] + np.arange(len(own))))
+        for s, own in more.items():
+            i = int(np.searchsorted(sig, s))
+            out.append((np.full(len(own), i), own & np.uint64(_LOW), hot_counts[np.searchsorted(hot, own)], unique[i] + cold[i] + np.arange(len(own))))
         at, tokens, df, pos = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"token": tokens.view(np.int64), "sig": sig[at], "n": n[at].astype(np.int32), "pos": pos.astype(np.int32), "df": df.astype(np.int64)})
+        return pa.table({"token": tokens.astype(np.int64), "sig": sig[at], "n": n[at].astype(np.int32), "pos": pos.astype(np.int32), "df": df.astype(np.int64)})
 
     narrow = sets.select("sig", "n", "tokens")
-    shared = narrow.mapInArrow(spread, "bucket int, tokens binary, sigs binary").groupBy("bucket").applyInArrow(count, "home int, head boolean, sigs binary, a binary, b binary, c binary")
-    header = narrow.mapInArrow(heads, "home int, head boolean, sigs binary, a binary, b binary, c binary")
+    shared = narrow.mapInArrow(spread, "bucket int, tokens binary, owners binary, short boolean, sigs binary").groupBy("bucket").applyInArrow(count, _HOME)
+    header = narrow.mapInArrow(heads, _HOME)
     return shared.unionAll(header).groupBy("home").applyInArrow(prefixes, "token bigint, sig bigint, n int, pos int, df bigint")
 
 
@@ -280,9 +337,11 @@ def candidates(postings: DataFrame, t: float, tile: int = 1024) -> DataFrame:
     return lists.mapInArrow(meet, "sa bigint, sb bigint").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, t: float, small: int = 1_000_000) -> DataFrame:
     """(sa, sb, similarity) of the pairs at similarity t or more, from the whole sets."""
     sides = pairs.select(F.col("sa").alias("sig")).union(pairs.select(F.col("sb").alias("sig"))).distinct()
+    if sides.count() <= small:  # 16 bytes each; beyond that the join shuffles
+        sides = F.broadcast(sides)
     wanted = sets.select("sig", "tokens").join(sides, "sig", "left_semi").dropDuplicates(["sig"])
     both = pairs.join(wanted.select(F.col("sig").alias("sa"), F.col("tokens").alias("ta")), "sa").join(wanted.select(F.col("sig").alias("sb"), F.col("tokens").alias("tb")), "sb")
 
