@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pagestrata.functions.html_scan import visible_text, words
 from pagestrata.session import stored
 
-_LOW = (1 << 48) - 1
+_CUT = np.uint64(16)  # in lists a shingle is the first 48 bits of its hash
 _HOME = "home int, kind int, sigs binary, a binary, b binary, c binary"
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -189,20 +189,20 @@ def prefix_postings(sets: DataFrame, t: float, hot: np.ndarray, hot_counts: np.n
                 cold = ~_is_hot(tokens, hot)
                 tokens, owner = tokens[cold], owner[cold]
                 order = np.argsort(tokens)
-                tokens, owner = tokens[order], owner[order]
-                bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                tokens, owner = tokens[order] >> _CUT, owner[order]
+                bucket = ((tokens >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 edges = _edges(bucket)
                 rows = []
                 for a, b in zip(edges, edges[1:]):
                     used, local = np.unique(owner[a:b], return_inverse=True)
-                    rows.append((int(bucket[a]), _pack(tokens[a:b]), _pack(local.astype(np.uint16 if len(used) <= 65536 else np.uint32)), len(used) <= 65536, sig[used].tobytes()))
+                    rows.append((int(bucket[a]), _pack(tokens[a:b], 6), _pack(local.astype(np.uint16 if len(used) <= 65536 else np.uint32)), len(used) <= 65536, sig[used].tobytes()))
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.binary())], names=["bucket", "tokens", "owners", "short", "sigs"])
 
     def count(table: pa.Table) -> pa.Table:
         tokens, sigs = [], []
         for t, o, short, s in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "short", "sigs"))):
-            tokens.append(_unpack(t, np.uint64))
+            tokens.append(_unpack(t, np.uint64, 6))
             sigs.append(np.frombuffer(s, dtype=np.int64)[_unpack(o, np.uint16 if short else np.uint32)])
         tokens, sigs = np.concatenate(tokens), np.concatenate(sigs)
         order = np.lexsort((sigs, tokens))
@@ -282,7 +282,7 @@ def prefix_postings(sets: DataFrame, t: float, hot: np.ndarray, hot_counts: np.n
         out = [(at, tokens, df, pos)]
         for s, own in more.items():
             i = int(np.searchsorted(sig, s))
-            out.append((np.full(len(own), i), own & np.uint64(_LOW), hot_counts[np.searchsorted(hot, own)], unique[i] + cold[i] + np.arange(len(own))))
+            out.append((np.full(len(own), i), own >> _CUT, hot_counts[np.searchsorted(hot, own)], unique[i] + cold[i] + np.arange(len(own))))
         at, tokens, df, pos = (np.concatenate(x) for x in zip(*out))
         return pa.table({"token": tokens.astype(np.int64), "sig": sig[at], "n": n[at].astype(np.int32), "pos": pos.astype(np.int32), "df": df.astype(np.int64)})
 
@@ -325,16 +325,26 @@ def candidates(postings: DataFrame, t: float, tile: int = 1024) -> DataFrame:
                 least = np.ceil(t / (1 + t) * (n[active] + n[other]) - 1e-9)
                 bound = np.minimum(pos[active], pos[other]) + np.minimum(n[active] - pos[active], n[other] - pos[other])
                 hit = (bound >= least) & (sig[active] != sig[other]) & (diagonal[active] | (own[active] != own[other]))
-                left.append(sig[active[hit]])
-                right.append(sig[other[hit]])
+                left.append(active[hit])
+                right.append(other[hit])
                 d += 1
             if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["sa", "sb"])
+                x, y = np.concatenate(left), np.concatenate(right)
+                swap = sig[x] > sig[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                order = np.lexsort((sig[y], sig[x]))
+                x, y = x[order], y[order]
+                starts = np.concatenate([[0], np.flatnonzero((sig[x[1:]] != sig[x[:-1]]) | (sig[y[1:]] != sig[y[:-1]])) + 1]) if len(x) else np.empty(0, np.int64)
+                met = np.diff(np.concatenate([starts, [len(x)]])) if len(x) else starts
+                last = lambda z: np.maximum.reduceat(pos[z], starts) if len(x) else starts
+                cols = (sig[x[starts]], sig[y[starts]], met, last(x), last(y), n[x[starts]], n[y[starts]])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["sa", "sb", "met", "pa", "pb", "na", "nb"])
 
     lists = cut.repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions("token", "i", "j", "n", "pos")
-    return lists.mapInArrow(meet, "sa bigint, sb bigint").distinct()
+    pairs = lists.mapInArrow(meet, "sa bigint, sb bigint, met bigint, pa bigint, pb bigint, na bigint, nb bigint").groupBy("sa", "sb").agg(F.sum("met").alias("met"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    # All common shingles up to the last one met are counted; what can follow is bounded by the shorter rest.
+    least = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
+    return pairs.filter(F.col("met") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb")) >= least).select("sa", "sb")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: float, small: int = 1_000_000) -> DataFrame:
