@@ -45,11 +45,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of captures that were wrongly decoded, with their restored text."""
-    titles = table(spark, sf_dir, "snapshot_meta").select(F.lit("snapshot_meta").alias("tab"), F.col("meta_id").alias("rec_id"), F.col("title").alias("text"))
-    freq = mojibake.count_frequencies(titles.select("text"))
-    freq.top = mojibake.common_words(titles.select("text"))
-    return mojibake.restore_damaged(titles, freq)
+    """Pages and captures that hold wrongly decoded text, with their restored text."""
+    texts = _texts(spark, sf_dir)
+    freq = mojibake.count_frequencies(texts.select("text"))
+    freq.top = mojibake.common_words(texts.select("text"))
+    return mojibake.restore_damaged(texts, freq)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

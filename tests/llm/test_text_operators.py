@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagestrata.functions.html_scan import scan_blocks
-from pagestrata.llm import main_text, mojibake, residue, sentences, site_lines
+from pagestrata.llm import main_text, mojibake, queries, residue, sentences, site_lines
 
 
 def test_tree_accuracy_on_held_out_pages():
@@ -69,6 +69,18 @@ def test_lost_bytes_are_filled(spark):
     assert restorer.damaged("лі�арня") and not restorer.damaged("лікарня") and not restorer.damaged(None) and restorer.restore("") == ("", None)
 
 
+def test_pages_are_restored_as_well_as_captures(spark, tmp_path):
+    good = titles()
+    back = {b: c for c, b in mojibake._byte_map("cp1252").items()}
+    bad = ["".join(back[b] for b in t.encode()) for t in good[:3]]
+    pages = [(i, f"<p>{t}</p>", (None,)) for i, t in enumerate(good)] + [(1000, f"<p>{bad[0]}</p>", (None,)), (1001, "<p>x</p>", (bad[1],))]
+    spark.createDataFrame(pages, "page_id bigint, html string, wayback_metadata struct<title: string>").write.parquet(f"{tmp_path}/html_document.parquet")
+    spark.createDataFrame([(7, bad[2]), (8, good[0])], "meta_id bigint, title string").write.parquet(f"{tmp_path}/snapshot_meta.parquet")
+    got = {(r["tab"], r["rec_id"]): r["restored"].strip() for r in queries.p3_restored(spark, str(tmp_path)).collect()}
+    assert set(got) == {("html_document", 1000), ("html_document", 1001), ("snapshot_meta", 7)}
+    assert got["html_document", 1000] == good[0] and got["html_document", 1001].endswith(good[1]) and got["snapshot_meta", 7] == good[2]
+
+
 def test_mojibake_empty(spark):
     df = spark.createDataFrame([], "tab string, rec_id bigint, text string")
     assert mojibake.find_damaged(df, mojibake.count_frequencies(df.select("text"))).count() == 0
