@@ -2,9 +2,11 @@
 
 Method: a noisy channel. A channel is a pair (encoding the text was written in, encoding it was read
 with). For every token the bytes behind its characters form a lattice - one byte per character of the
-reading encoding, a wildcard for each lost byte (U+FFFD) - which is decoded with the writing encoding.
-Corpus word frequencies and character pairs, counted over all texts, score the original against every
-decoding. Lost bytes are filled by a Viterbi search over the lattice under the same frequencies.
+reading encoding (two in GBK), a wildcard for each lost byte (U+FFFD) - which is decoded with the writing
+encoding. Corpus word frequencies and character pairs, counted over all texts, score the original against
+every decoding. A Viterbi search over (byte, last character) finds the likeliest decoding of a lattice with
+wildcards among all characters the corpus holds. Where no channel wins, the characters beside the lost bytes
+stand as written: the most frequent common word that fits fills the gap, else character pairs do.
 Counts are hashed into cells (words in three rows, the least of which counts), so the model has a fixed size at any corpus size and is summed per task.
 
 A record is a case when a token's best decoding beats the token as it stands, or when bytes were lost.
@@ -15,6 +17,7 @@ empty table gives no rows; further columns are ignored; texts of any length are
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 
@@ -83,6 +86,7 @@ class Frequencies:
 
     def __init__(self, words: np.ndarray, pairs: np.ndarray, chars: np.ndarray, top: dict[str, int]):
         self.words, self.pairs, self.chars, self.top = words, pairs, chars, top
+        self.alphabets: dict = {}
         self.total = max(1.0, float(words.sum()) / 3)
         self.noise = 2 * self.total / WORD_CELLS
 
@@ -225,33 +229,185 @@ def best_decoding(token: str, freq: Frequencies, margin: float = 8.0, depth: int
     return got
 
 
-def fill_lost(token: str, freq: Frequencies) -> str:
-    """A token with U+FFFD restored by Viterbi search: a common word that fits the lattice, else character pairs.
+def _log_pairs(freq: Frequencies, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Log-probability of every character of ``after`` behind every one of ``before`` (rows)."""
+    h = ((before * np.uint32(0x9E3779B1))[:, None] ^ (after * np.uint32(0x85EBCA77))[None, :]) >> np.uint32(14)
+    return np.log((freq.pairs[h] + 0.05) / (freq.chars[np.minimum(before, 0xFFFF)] + 8.0)[:, None])
 
-    A run of lost bytes may stand for as many letters (single-byte writing) or for half as many (UTF-8 pairs).
+
+def _alphabet(freq: Frequencies, writer: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per encoded length: (code points, bytes) of all characters above ASCII that the corpus holds, either case."""
+    if writer not in freq.alphabets:
+        seen = {chr(c) for c in np.flatnonzero(freq.chars >= 1) if c >= 0xA0 and c != ord(LOST) and not 0xD800 <= c < 0xE000}
+        by_len: dict[int, list[tuple[int, list[int]]]] = {}
+        for c in sorted(seen | {c.upper() for c in seen if len(c.upper()) == 1}, key=lambda c: (c.isupper(), c)):  # of equals the small letter
+            try:
+                raw = c.encode(writer)
+            except UnicodeEncodeError:
+                continue
+            by_len.setdefault(len(raw), []).append((ord(c), list(raw)))
+        freq.alphabets[writer] = {n: (np.array([c for c, _ in x], np.uint32), np.array([r for _, r in x], np.uint8)) for n, x in by_len.items()}
+    return freq.alphabets[writer]
+
+
+def lost_bytes(token: str, reader: str) -> list[int | None] | None:
+    """The bytes behind a token, null for each lost one; null where ``reader`` cannot have read it so."""
+    out: list[int | None] = []
+    for piece in re.findall(LOST + "|[^" + LOST + "]+", token):
+        if piece == LOST:
+            out.append(None)
+            continue
+        raw = to_bytes(piece, reader)
+        if raw is None:
+            return None
+        out += raw
+    return out
+
+
+def decode_lattice(raw: list[int | None], writer: str, freq: Frequencies) -> str | None:
+    """The likeliest text of bytes with wildcards: Viterbi over (byte, last character), then each lost place again under word counts."""
+    alphabet = _alphabet(freq, writer)
+    steps: list = [None] * (len(raw) + 1)
+    steps[0] = [(np.array([32], np.uint32), np.zeros(1), None)]
+    for at in range(len(raw)):
+        if steps[at] is None:
+            continue
+        before = np.concatenate([x[0] for x in steps[at]])
+        score = np.concatenate([x[1] for x in steps[at]])
+        steps[at] = (before, score, [y for x in steps[at] for y in (x[2] or [None])])
+        low = np.array([ord(chr(c).lower()[0]) for c in before], np.uint32)
+        options = [(1, np.array([raw[at]], np.uint32))] if raw[at] is not None and raw[at] < 128 else []
+        if not options:
+            for n, (codes, table) in alphabet.items():
+                part = raw[at : at + n]
+                if len(part) == n:
+                    fit = np.ones(len(codes), bool)
+                    for i, x in enumerate(part):
+                        if x is not None:
+                            fit &= table[:, i] == x
+                    if fit.any():
+                        options.append((n, codes[fit]))
+        for n, codes in options:
+            after = np.array([ord(chr(c).lower()[0]) for c in codes], np.uint32)
+            through = score[:, None] + _log_pairs(freq, low, after)
+            best = through.argmax(0)
+            links = [(at, int(b), n) for b in best]
+            steps[at + n] = (steps[at + n] or []) + [(codes, through[best, np.arange(len(codes))], links)]
+    if steps[-1] is None:
+        return None
+    end = steps[-1]
+    codes, score, links = np.concatenate([x[0] for x in end]), np.concatenate([x[1] for x in end]), [y for x in end for y in x[2] or [None]]
+    i, chars, spans = int(score.argmax()), [], []
+    while links[i] is not None:
+        at, back, n = links[i]
+        chars.append(chr(codes[i]))
+        spans.append((at, n))
+        codes, _, links = steps[at]
+        i = back
+    chars, spans = chars[::-1], spans[::-1]
+    for i, (at, n) in enumerate(spans):
+        part = raw[at : at + n]
+        if None not in part or all(x is None for x in part):
+            continue
+        codes, table = alphabet[n]
+        fit = np.all([table[:, k] == x for k, x in enumerate(part) if x is not None], axis=0)
+        chars[i] = max((chr(c) for c in codes[fit]), key=lambda c: freq.log("".join([*chars[:i], c, *chars[i + 1 :]])))  # noqa: B023
+    return "".join(chars)
+
+
+def decode_lost(token: str, freq: Frequencies, margin: float = 8.0) -> tuple[str, str] | None:
+    """(channel, text) of a token both misread and with lost bytes; null where its characters stand as they were written."""
+    known = [x for x in token.split(LOST) if x]
+    if not any(ord(c) > 127 for x in known for c in x) or not any(c.isalnum() for x in known for c in x):
+        return None
+    own = max(sum(freq.log(x) for x in known), freq.log(fill_lost(token, freq)))
+    best, got = own + margin, None
+    for reader in READ_AS:
+        raw = lost_bytes(token, reader)
+        if raw is None:
+            continue
+        for writer in ("utf-8", *WRITTEN_IN):
+            if writer == reader or writer != "utf-8" and reader == "gb18030":
+                continue
+            text = decode_lattice(raw, writer, freq)
+            if text is None or not any(ord(c) > 127 for c in text):
+                continue
+            if writer != "utf-8" and not any(a != LOST and a != b and a.isalnum() for a, b in zip(token, text)):
+                continue  # the known characters stay as they are
+            sure = sum(x is not None and x > 127 for x in raw) if writer == "utf-8" else 0
+            score = freq.log(text) + (3.0 * (sure // 2) + 4.0 if sure else 0.0)
+            if score > best and (sure >= 4 or not sure):
+                best, got = score, (f"{writer}>{'gbk' if reader == 'gb18030' else reader}", text)
+    return got
+
+
+_PART = re.compile(r"(?:[^\W_]|" + LOST + ")+")
+
+
+def lost_parts(token: str) -> list[str]:
+    """The words of a token that hold U+FFFD beside a letter or digit, without the punctuation around them."""
+    return [p for p in _PART.findall(token) if LOST in p and p.strip(LOST)]
+
+
+@lru_cache(maxsize=4096)
+def _part_pattern(part: str) -> re.Pattern:
+    """A run of lost bytes stands for up to as many characters, none of them ASCII, of up to three bytes each."""
+    return re.compile("".join(r"([^\W_\x00-\x7f]{%d,%d})" % ((len(p) + 2) // 3, len(p)) if p[0] == LOST else re.escape(p) for p in re.findall(LOST + "+|[^" + LOST + "]+", part.lower())))
+
+
+def fits(part: str, word: str) -> bool:
+    """Whether a word may be what a part with lost bytes stood for."""
+    m = _part_pattern(part).fullmatch(word)
+    return bool(m) and all(len(g.encode("utf-8", "replace")) >= len(r) for g, r in zip(m.groups(), re.findall(LOST + "+", part)))
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split(" ")[0].split("-")[0]
+
+
+def _fill_by_pairs(part: str, freq: Frequencies) -> str:
+    """A part filled by character pairs alone, with lower-case letters of the scripts around; a run of lost bytes is taken for whole letters."""
+    scripts = {_script(c) for c in part if c != LOST}
+    letters = np.concatenate([c for c, _ in _alphabet(freq, "utf-8").values()])
+    letters = np.array([c for c in letters if chr(c).isalpha() and _script(chr(c)) in scripts and chr(c).lower() == chr(c)], np.uint32)
+    if not len(letters):
+        return part
+    width = len(chr(letters[0]).encode())
+    items: list[str | None] = []
+    for p in re.findall(LOST + "+|[^" + LOST + "]+", part):
+        items += [None] * max(1, round(len(p) / width)) if p[0] == LOST else list(p)
+    codes, score, back = np.array([32], np.uint32), np.zeros(1), []
+    for c in items:
+        after = letters if c is None else np.array([ord(c.lower()[0])], np.uint32)
+        through = score[:, None] + _log_pairs(freq, codes, after)
+        best = through.argmax(0)
+        back.append((codes, best))
+        codes, score = after, through[best, np.arange(len(after))]
+    i, out = int(score.argmax()), []
+    for k in range(len(items) - 1, -1, -1):
+        out.append(items[k] or chr(codes[i]))
+        i, codes = int(back[k][1][i]), back[k][0]
+    return "".join(out[::-1])
+
+
+def fill_lost(token: str, freq: Frequencies, words: dict[str, str] | None = None) -> str:
+    """A token with U+FFFD restored: by ``words`` (part -> word), the words of ``freq.top``, else character pairs.
+
+    A run of lost bytes may stand for as many letters (single-byte writing) or for fewer (UTF-8).
     """
-    if LOST not in token or all(c == LOST for c in token if c.isalnum() or c == LOST):
-        return token
-    for run in (r"\w", r"\w{1,%d}"):
-        pattern = "".join(re.escape(p) if p[0] != LOST else (r"\w" * len(p) if run == r"\w" else r"\w{%d,%d}" % ((len(p) + 2) // 3, len(p))) for p in re.findall(LOST + "+|[^" + LOST + "]+", token.lower()))
-        m = re.match(r"^\W*", token)
-        rx = re.compile(pattern)
-        fits = [(n, w) for w, n in freq.top.items() if len(w) <= len(token) and rx.fullmatch(w)]
-        if fits:
-            n, w = max(fits)
-            return w.capitalize() if token[m.end() : m.end() + 1].isupper() else w
-    low = token.lower()
-    letters = [c for c in {c for w in list(freq.top)[:5000] for c in w}] or [LOST]
-    paths = {" ": (0.0, "")}
-    for c in low:
-        step: dict[str, tuple[float, str]] = {}
-        for nxt in letters if c == LOST else [c]:
-            cells = {p: freq.pairs[int(_pair_cells(_codes(p + nxt))[0])] for p in paths}
-            p = max(paths, key=lambda q: paths[q][0] + np.log((cells[q] + 0.05) / (freq.chars[min(ord(q), 0xFFFF)] + 8.0)))
-            step[nxt] = (paths[p][0] + float(np.log((cells[p] + 0.05) / (freq.chars[min(ord(p), 0xFFFF)] + 8.0))), paths[p][1] + nxt)
-        paths = step
-    filled = max(paths.values())[1]
-    return "".join(o if o != LOST else f for o, f in zip(token, filled))
+    done = {}
+    for part in lost_parts(token):
+        word = (words or {}).get(part)
+        if word is None and freq.top:
+            word = max(((n, w) for w, n in freq.top.items() if fits(part, w)), default=(0, None))[1]
+        if word is None:
+            word = _fill_by_pairs(part, freq)
+        else:  # known letters keep their case
+            m, known = _part_pattern(part).fullmatch(word), part.replace(LOST, "")
+            groups = iter(g.upper() if known.isupper() and len(known) > 1 else g for g in m.groups())
+            word = "".join(next(groups) if p[0] == LOST else p for p in re.findall(LOST + "+|[^" + LOST + "]+", part))
+        done[part] = word
+    return _PART.sub(lambda m: done.get(m.group(), m.group()), token)
 
 
 class Restorer:
@@ -264,7 +420,7 @@ class Restorer:
         if token not in self.seen:
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            self.seen[token] = ("lost", token) if LOST in token else best_decoding(token, self.freq, self.margin)
+            self.seen[token] = decode_lost(token, self.freq, self.margin) or ("lost", token) if LOST in token else best_decoding(token, self.freq, self.margin)
         return self.seen[token]
 
     def damaged(self, text: str | None) -> bool:

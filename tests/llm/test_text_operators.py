@@ -69,6 +69,16 @@ def test_lost_bytes_are_filled(spark):
     assert restorer.damaged("лі�арня") and not restorer.damaged("лікарня") and not restorer.damaged(None) and restorer.restore("") == ("", None)
 
 
+def test_misread_text_with_lost_bytes_is_decoded(spark):
+    good = ["并且今年通过问题会议", "通过需要问题通过", *titles(200)]
+    freq = mojibake.count_frequencies(spark.createDataFrame([(t,) for t in good * 20], "text string"))
+    restorer = mojibake.Restorer(freq)
+    assert restorer.token("骞朵笖浠婂勾閫氳繃闂�棰樹細璁�") == ("utf-8>gbk", good[0])
+    assert restorer.token("閫氳繃闇�瑕侀棶棰橀�氳繃") == ("utf-8>gbk", good[1])
+    misread = "громада".encode().decode("cp1251")
+    assert restorer.token(misread[:3] + "�" + misread[4:]) == ("utf-8>cp1251", "громада")
+
+
 def test_pages_are_restored_as_well_as_captures(spark, tmp_path):
     good = titles()
     back = {b: c for c, b in mojibake._byte_map("cp1252").items()}
