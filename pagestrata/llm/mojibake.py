@@ -6,7 +6,7 @@ reading encoding (two in GBK), a wildcard for each lost byte (U+FFFD) - which is
 encoding. Corpus word frequencies and character pairs, counted over all texts, score the original against
 every decoding. A Viterbi search over (byte, last character) finds the likeliest decoding of a lattice with
 wildcards among all characters the corpus holds. Where no channel wins, the characters beside the lost bytes
-stand as written: the most frequent common word that fits fills the gap, else character pairs do.
+stand as written: the most frequent of all words that fits fills the gap (a join), else character pairs do.
 Counts are hashed into cells (words in three rows, the least of which counts), so the model has a fixed size at any corpus size and is summed per task.
 
 A record is a case when a token's best decoding beats the token as it stands, or when bytes were lost.
@@ -16,6 +16,7 @@ empty table gives no rows; further columns are ignored; texts of any length are
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.functions.html_scan import visible_text
+from pagestrata.session import stored
 
 WORD_CELLS, PAIR_CELLS, CHAR_CELLS = 1 << 20, 1 << 18, 1 << 16
 LOST = "�"
@@ -326,15 +328,17 @@ def decode_lost(token: str, freq: Frequencies, margin: float = 8.0) -> tuple[str
         raw = lost_bytes(token, reader)
         if raw is None:
             continue
+        known_bytes = sum(x is not None and x > 127 for x in raw)
         for writer in ("utf-8", *WRITTEN_IN):
-            if writer == reader or writer != "utf-8" and reader == "gb18030":
+            # Only UTF-8 has a form of its own; elsewhere the known bytes must outweigh the free ones.
+            if writer == reader or writer != "utf-8" and (reader == "gb18030" or known_bytes < 2 * raw.count(None)):
                 continue
             text = decode_lattice(raw, writer, freq)
             if text is None or not any(ord(c) > 127 for c in text):
                 continue
             if writer != "utf-8" and not any(a != LOST and a != b and a.isalnum() for a, b in zip(token, text)):
                 continue  # the known characters stay as they are
-            sure = sum(x is not None and x > 127 for x in raw) if writer == "utf-8" else 0
+            sure = known_bytes if writer == "utf-8" else 0
             score = freq.log(text) + (3.0 * (sure // 2) + 4.0 if sure else 0.0)
             if score > best and (sure >= 4 or not sure):
                 best, got = score, (f"{writer}>{'gbk' if reader == 'gb18030' else reader}", text)
@@ -410,6 +414,63 @@ def fill_lost(token: str, freq: Frequencies, words: dict[str, str] | None = None
     return _PART.sub(lambda m: done.get(m.group(), m.group()), token)
 
 
+def _grams(text: str) -> set[str]:
+    return {text[i : i + n] for n in (1, 2, 3, 4) for i in range(len(text) - n + 1)} - {"^", "$"}
+
+
+def _part_keys(part: str) -> list[str]:
+    """Keys of a part, one per length it may have: the longest literal (at most four characters, ends included)."""
+    runs = re.findall(LOST + "+", part)
+    literal = max((x[:4] if x[0] == "^" else x[-4:] for x in f"^{part.lower()}$".split(LOST) if x.strip("^$")), key=len)
+    known = sum(c != LOST for c in part.lower())
+    return [f"{n} {literal}" for n in range(known + sum((len(r) + 2) // 3 for r in runs), known + sum(map(len, runs)) + 1)]
+
+
+_KEY_CELLS = 1 << 22
+
+
+def words_for_lost(parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(part, word): the most frequent of all words of ``texts`` that fits each part with lost bytes, by a join on length and literal."""
+
+    def keys(batches):
+        for batch in batches:
+            rows = [(p, k) for p in batch.column(0).to_pylist() for k in _part_keys(p)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.string()), pa.array([xxhash.xxh32_intdigest(k) % _KEY_CELLS for _, k in rows], pa.int32())], names=["part", "key", "cell"])
+
+    keyed = stored(parts.distinct().mapInArrow(keys, "part string, key string, cell int"), "lost-keys")
+    wanted = np.zeros(_KEY_CELLS, bool)
+    wanted[keyed.select("cell").distinct().toArrow().column(0).to_numpy()] = True
+    wanted = np.packbits(wanted).tobytes()
+
+    def count(batches):
+        for batch in batches:
+            words: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                if t:
+                    words.update(w for w in _WORD.findall(t.lower()) if not w.isascii())
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+    def candidates(batches):
+        for batch in batches:
+            rows = []
+            for i, w in enumerate(batch.column(0).to_pylist()):
+                for g in _grams(f"^{w}$"):
+                    k = f"{len(w)} {g}"
+                    c = xxhash.xxh32_intdigest(k) % _KEY_CELLS
+                    if wanted[c >> 3] >> (7 - (c & 7)) & 1:
+                        rows.append((i, k))
+            at = pa.array([i for i, _ in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([k for _, k in rows], pa.string())], names=["word", "n", "key"])
+
+    def check(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([fits(p, w) for p, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
+
+    words = texts.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    pairs = keyed.select("part", "key").join(words.mapInArrow(candidates, "word string, n bigint, key string"), "key").select("part", "word", "n")
+    return pairs.mapInArrow(check, "part string, word string, n bigint").groupBy("part").agg(F.max(F.struct("n", "word"))["word"].alias("word"))
+
+
 class Restorer:
     """Finds and restores damaged tokens; verdicts are kept per worker in a bounded cache."""
 
@@ -430,7 +491,7 @@ class Restorer:
         return LOST in text or any(self.token(t) for t in dict.fromkeys(_TOKEN.findall(text)))
 
     def restore(self, text: str | None) -> tuple[str | None, str | None]:
-        """(restored text, channels); (text, null) where nothing is damaged."""
+        """(restored text, channels); (text, null) where nothing is damaged. Lost bytes of well-read tokens stay for :func:`fill_lost`."""
         if not text or text.isascii():
             return text, None
         used = {}
@@ -440,7 +501,7 @@ class Restorer:
             if not got:
                 return m.group()
             used[got[0]] = 1
-            return fill_lost(m.group(), self.freq) if got[0] == "lost" else got[1]
+            return got[1]
 
         out = _TOKEN.sub(fix, text)
         return out, " ".join(sorted(used)) or None
@@ -492,4 +553,23 @@ def restore_damaged(records: DataFrame, freq: Frequencies, margin: float = 8.0)
             cols = [batch.column(0), batch.column(1), batch.column(2), pa.array([t for t, _ in got], pa.string()), pa.array([c for _, c in got], pa.string())]
             yield pa.RecordBatch.from_arrays([c.filter(hit) for c in cols], names=["tab", "rec_id", "text", "restored", "channels"])
 
-    return records.select("tab", "rec_id", "text").mapInArrow(run, f"tab string, rec_id {records.schema['rec_id'].dataType.simpleString()}, text string, restored string, channels string").dropDuplicates(["tab", "rec_id", "text"])
+    kind = f"tab string, rec_id {records.schema['rec_id'].dataType.simpleString()}, text string, restored string, channels string"
+    damaged = stored(records.select("tab", "rec_id", "text").mapInArrow(run, kind).dropDuplicates(["tab", "rec_id", "text"]), "damaged")
+
+    def parts(batches):
+        for batch in batches:
+            rows = [(t, p) for t in batch.column(0).to_pylist() for p in {p for x in _TOKEN.findall(t) for p in lost_parts(x)}]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(t.encode("utf-8", "replace")).hexdigest() for t, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string())], names=["digest", "part"])
+
+    def fill(batches):
+        for batch in batches:
+            out = []
+            for t, got in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist()):
+                words = {x["part"]: x["word"] for x in got or []}
+                out.append(_TOKEN.sub(lambda m: fill_lost(m.group(), freq, words) if LOST in m.group() else m.group(), t))  # noqa: B023
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string()), batch.column(4)], names=["tab", "rec_id", "text", "restored", "channels"])
+
+    of_text = damaged.filter(F.contains("restored", F.lit(LOST))).select("restored").distinct().mapInArrow(parts, "digest string, part string")
+    found = words_for_lost(of_text.select("part"), records.select("text"))
+    filled = of_text.join(found, "part").groupBy("digest").agg(F.collect_list(F.struct("part", "word")).alias("fill"))
+    return damaged.withColumn("digest", F.sha1("restored")).join(filled, "digest", "left").select("tab", "rec_id", "text", "restored", "channels", "fill").mapInArrow(fill, kind)

@@ -47,9 +47,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and captures that hold wrongly decoded text, with their restored text."""
     texts = _texts(spark, sf_dir)
-    freq = mojibake.count_frequencies(texts.select("text"))
-    freq.top = mojibake.common_words(texts.select("text"))
-    return mojibake.restore_damaged(texts, freq)
+    return mojibake.restore_damaged(texts, mojibake.count_frequencies(texts.select("text")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

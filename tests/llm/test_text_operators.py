@@ -79,6 +79,13 @@ def test_misread_text_with_lost_bytes_is_decoded(spark):
     assert restorer.token(misread[:3] + "�" + misread[4:]) == ("utf-8>cp1251", "громада")
 
 
+def test_lost_bytes_are_filled_from_all_words(spark):
+    rows = [("t", 0, "гро�ада, засіда��я"), ("t", 1, "«рідк�слово»"), ("t", 2, "рідкіслово")] + [("t", 3 + i, x) for i, x in enumerate(titles())]
+    df = spark.createDataFrame(rows, "tab string, rec_id bigint, text string")
+    got = {r["rec_id"]: r["restored"] for r in mojibake.restore_damaged(df, mojibake.count_frequencies(df.select("text"))).collect()}
+    assert got == {0: "громада, засідання", 1: "«рідкіслово»"}
+
+
 def test_pages_are_restored_as_well_as_captures(spark, tmp_path):
     good = titles()
     back = {b: c for c, b in mojibake._byte_map("cp1252").items()}
