@@ -115,7 +115,10 @@ class Frequencies:
 
 
 def count_frequencies(texts: DataFrame, vocabulary: int = 50_000) -> Frequencies:
-    """Frequencies over a one-column table of texts (html is reduced to its visible text).
+    """Frequencies over a one-column table of texts (html is reduced to its visible text), repetition bounded.
+
+    Segments are lines and the parts of a title between bars. A segment that a hot site or a group of copies repeats counts for at
+    most 1e-5 of all words, so a garbled one cannot become sound by repetition and a sound one is not forgotten.
 
     ``vocabulary`` bounds only the word list from which lost bytes are filled; the counts cover all words.
     """
@@ -133,21 +136,28 @@ def count_frequencies(texts: DataFrame, vocabulary: int = 50_000) -> Frequencies
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                text = "\n".join(t for t in batch.column(0).slice(start, 256).to_pylist() if t).lower()
-                if not text:
-                    continue
-                words.update(_WORD.findall(text))
+                part, of_weight = batch.slice(start, 256), {}
+                for t, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    of_weight.setdefault(n, []).append(t)
+                for n, group in of_weight.items():
+                    text = "\n".join(group).lower()
+                    for w, k in Counter(_WORD.findall(text)).items():
+                        words[w] += k * n
+                    codes = _codes(re.sub(r"[\s!-/:-@\[-`{-~]+", " ", text))
+                    pairs += n * np.bincount(_pair_cells(codes), minlength=PAIR_CELLS)
+                    chars += n * np.bincount(np.minimum(codes, 0xFFFF), minlength=CHAR_CELLS)
                 if len(words) > 400_000:
                     spill()
-                codes = _codes(re.sub(r"[\s!-/:-@\[-`{-~]+", " ", text))
-                pairs += np.bincount(_pair_cells(codes), minlength=PAIR_CELLS)
-                chars += np.bincount(np.minimum(codes, 0xFFFF), minlength=CHAR_CELLS)
         spill()
         for kind, counts in enumerate((cells, pairs, chars)):
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["kind", "cell", "n"])
 
-    rows = texts.mapInArrow(run, "kind int, cell int, n bigint").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
+    segments = texts.select(F.explode(F.split(F.col(texts.columns[0]), r"\s*[\r\n]\s*|\s+\|\s+")).alias("text")).filter("text != ''")
+    segments = stored(segments.groupBy("text").agg(F.count("*").alias("n")), "segments")
+    length = segments.agg(F.sum(F.length("text") * F.col("n"))).first()[0] or 0
+    segments = segments.select("text", F.least("n", F.lit(max(1, int(length / 6 * 1e-5)))).alias("n"))
+    rows = segments.mapInArrow(run, "kind int, cell int, n bigint").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
     kind, cell, n = (rows.column(c).to_numpy() for c in ("kind", "cell", "n"))
     out = []
     for k, size in enumerate((3 * WORD_CELLS, PAIR_CELLS, CHAR_CELLS)):
@@ -205,8 +215,6 @@ def decodings(token: str):
 def best_decoding(token: str, freq: Frequencies, margin: float = 8.0, depth: int = 0) -> tuple[str, str] | None:
     """(channel, text) of the decoding that beats the token as it stands by ``margin`` nats, else null."""
     low = token.lower()
-    if freq.count(low.strip("«»“”„\"'().,;:!?…–—-")) > 40 + freq.total * 3e-4:
-        return None
     own = freq.log(token)
     best, got = own + margin, None
     for channel, text, sure in decodings(token):
@@ -219,7 +227,7 @@ def best_decoding(token: str, freq: Frequencies, margin: float = 8.0, depth: int
             if not any(c.isalpha() for c in token if ord(c) > 127) or len(text) == len(token) and not any(a != b and a.isalnum() for a, b in zip(token, text)):
                 continue
             seen = freq.count(text.lower())
-            if seen >= 20 and len(text) >= 4 and seen >= 5 * freq.count(low) and freq.by_pairs(text.lower()) > freq.by_pairs(low):
+            if seen >= 20 and len(text) >= 4 and seen >= 5 * freq.count(low.strip("«»“”„\"'().,;:!?…–—-")) and freq.by_pairs(text.lower()) > freq.by_pairs(low):
                 return channel, text
         score = freq.log(text) + (3.0 * (sure // 2) + 4.0 if sure else 0.0)
         if sure and depth == 0:

@@ -71,7 +71,7 @@ def test_lost_bytes_are_filled(spark):
 
 def test_misread_text_with_lost_bytes_is_decoded(spark):
     good = ["并且今年通过问题会议", "通过需要问题通过", *titles(200)]
-    freq = mojibake.count_frequencies(spark.createDataFrame([(t,) for t in good * 20], "text string"))
+    freq = mojibake.count_frequencies(spark.createDataFrame([(t,) for t in good], "text string"))
     restorer = mojibake.Restorer(freq)
     assert restorer.token("骞朵笖浠婂勾閫氳繃闂�棰樹細璁�") == ("utf-8>gbk", good[0])
     assert restorer.token("閫氳繃闇�瑕侀棶棰橀�氳繃") == ("utf-8>gbk", good[1])
@@ -86,6 +86,14 @@ def test_lost_bytes_are_filled_from_all_words(spark):
     assert got == {0: "громада, засідання", 1: "«рідкіслово»"}
 
 
+def test_a_garbled_word_that_a_hot_site_repeats_is_found(spark):
+    bad = "громада".encode("koi8-u").decode("cp1251")
+    rows = [("t", i, x) for i, x in enumerate(titles())] + [("t", 1000 + i, f"{x} | {bad}") for i, x in enumerate(titles(300, 2))] + [("t", 2000 + i, bad) for i in range(300)]
+    df = spark.createDataFrame(rows, "tab string, rec_id bigint, text string")
+    got = {r["rec_id"] for r in mojibake.find_damaged(df, mojibake.count_frequencies(df.select("text"))).collect()}
+    assert got == {i for _, i, _ in rows if i >= 1000}
+
+
 def test_pages_are_restored_as_well_as_captures(spark, tmp_path):
     good = titles()
     back = {b: c for c, b in mojibake._byte_map("cp1252").items()}
