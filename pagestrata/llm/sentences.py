@@ -177,7 +177,7 @@ def _stop_ends(line: str, i: int, end: int, doc: Evidence, learned: dict[str, bo
         return word.islower() and nxt.isupper()
     if bare in OPEN_ABBREVIATIONS:
         return False
-    if len(bare) <= 5 and bare.isalpha() and (doc.is_abbreviation(bare) and learned.get(bare) is not None or bare in learned):
+    if len(bare) <= 5 and bare.isalpha() and (doc.is_abbreviation(bare) or bare in learned):
         if not nxt.isalpha():
             return False
         m = re.compile(r"[^\W\d_]+").match(line, k)

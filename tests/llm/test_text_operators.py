@@ -177,6 +177,11 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences.sentences(text)] == want
 
 
+def test_abbreviation_by_its_own_document():
+    text = "Im Haus xyz. kleine Dinge. Dort xyz. Mardo wartet."
+    assert [text[a:b] for a, b in sentences.sentences(text)] == ["Im Haus xyz. kleine Dinge.", "Dort xyz. Mardo wartet."]
+
+
 def test_sentence_learning_and_edges(spark):
     texts = [f"Im Haus xyz. Kuro {i} war es ruhig. Wir ruhig sahen xyz. Mard und xyz. kleine Dinge." for i in range(30)] + [None, "", " \n ", "a" * 100_000]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id bigint, text string, start_pos int")
