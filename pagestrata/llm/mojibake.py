@@ -380,8 +380,12 @@ def _script(c: str) -> str:
 def _fill_by_pairs(part: str, freq: Frequencies) -> str:
     """A part filled by character pairs alone, with lower-case letters of the scripts around; a run of lost bytes is taken for whole letters."""
     scripts = {_script(c) for c in part if c != LOST}
-    letters = np.concatenate([c for c, _ in _alphabet(freq, "utf-8").values()])
-    letters = np.array([c for c in letters if chr(c).isalpha() and _script(chr(c)) in scripts and chr(c).lower() == chr(c)], np.uint32)
+    key = ("letters", frozenset(scripts))
+    if key not in freq.alphabets:
+        letters = np.concatenate([c for c, _ in _alphabet(freq, "utf-8").values()])
+        letters = np.array([c for c in letters if chr(c).isalpha() and _script(chr(c)) in scripts and chr(c).lower() == chr(c)], np.uint32)
+        freq.alphabets[key] = letters
+    letters = freq.alphabets[key]
     if not len(letters):
         return part
     width = len(chr(letters[0]).encode())
