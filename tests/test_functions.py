@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,17 @@ def test_scan_numbers_blocks():
     assert [(b.no, b.tag, b.text) for b in got] == [(1, "p", "a"), (2, "p", "b"), (3, "li", "c"), (4, "li", ""), (5, "blockquote", "d"), (6, "h2", "e & f")]
     assert got[5].link_chars == 1 and html_scan.scan_blocks(None) == html_scan.scan_blocks("") == []
     assert html_scan.words("Ab-9 ї_x") == ["ab", "9", "ї", "x"] and "no" not in html_scan.visible_text(page)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a ='", "<!-- ", "<!", "<p", "<script ", "</p", '<a ">"', "<div>", "<blockquote><li>"])
+def test_a_page_of_broken_markup_is_scanned_in_linear_time(piece):
+    page = piece * (1_000_000 // len(piece)) + "</h1>" * 1000 + "</section>'" * 1000
+    began = time.perf_counter()
+    html_scan.scan_blocks(page)
+    html_scan.visible_text(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_cut_off_tags_and_unclosed_quotes():
+    assert [b.text for b in html_scan.scan_blocks('<p title="a>b">one</p><p x=\'>two</p><p>three <b')] == ["one", "two", "three"]
+    assert html_scan.visible_text("a<!-- b").strip() == "a" and html_scan.visible_text("5 < 6 <i>x</i>").split() == ["5", "<", "6", "x"]
