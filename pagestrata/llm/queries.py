@@ -105,17 +105,26 @@ _SITE = r"regexp_replace(regexp_replace(lower(trim(coalesce(wayback_domain, rege
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL over the whole tables for the queries that SQL expresses."""
+    lines = rf"""
+        WITH lines AS (
+            SELECT block_id, url, text, position, wayback_timestamp, {_SITE} AS site,
+                string_split(trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words
+            FROM text_block WHERE text IS NOT NULL
+        ), sound AS (
+            SELECT block_id, url, site, array_to_string(words, ' ') AS line FROM lines
+            WHERE len(words) >= 3 AND len(list_filter(words, lambda w: regexp_matches(w, '\p{{L}}'))) >= 2
+        ), often AS (
+            SELECT site, line FROM sound WHERE url IS NOT NULL GROUP BY site, line HAVING count(DISTINCT url) >= 10
+        ), hit AS (
+            SELECT DISTINCT s.block_id FROM sound s JOIN often o ON s.site IS NOT DISTINCT FROM o.site AND s.line = o.line
+        )"""
     return {
-        "p4_found": rf"""
-            WITH lines AS (
-                SELECT block_id, url, {_SITE} AS site, string_split(trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words
-                FROM text_block WHERE text IS NOT NULL
-            ), sound AS (
-                SELECT block_id, url, site, array_to_string(words, ' ') AS line FROM lines
-                WHERE len(words) >= 3 AND len(list_filter(words, lambda w: regexp_matches(w, '\p{{L}}'))) >= 2
-            ), often AS (
-                SELECT site, line FROM sound WHERE url IS NOT NULL GROUP BY site, line HAVING count(DISTINCT url) >= 10
+        "p4_found": lines + " SELECT block_id FROM hit",
+        "p4_cleaned": lines + """, kept AS (
+                SELECT DISTINCT block_id, url, wayback_timestamp, coalesce(position, 0) AS position, text FROM lines WHERE block_id NOT IN (SELECT block_id FROM hit)
             )
-            SELECT DISTINCT s.block_id FROM sound s JOIN often o ON s.site IS NOT DISTINCT FROM o.site AND s.line = o.line
+            SELECT url, wayback_timestamp, (position // 2000)::BIGINT AS segment, CASE WHEN url IS NULL THEN block_id ELSE 0 END AS part,
+                string_agg(text, chr(10) ORDER BY position, block_id) AS text, count(*)::INT AS blocks
+            FROM kept GROUP BY ALL
         """,
     }

@@ -1,21 +1,21 @@
 """Lines repeated over the pages of one site (problem 4).
 
-Method: for every (site, line) the frequency of the line over the site's pages is compared with the
-frequency of an ordinary line outside the site by a log-likelihood ratio; Benjamini-Hochberg over all
-(site, line) tests controls the false-discovery rate; significant excess lines seen on at least
-``min_urls`` pages are removed by an anti-join and the rest is put together by position.
-
-"Outside frequency" is that of an ordinary line of the other sites - (line, page) occurrences per
-distinct line and page - and not that of the same line: prompts which many sites share are equally
-frequent inside and outside, yet repeat excessively within each.
-
-Plan: lines are hashed once and the narrow keys written to the shared folder; one shuffle of distinct
-(site, line, url) hashes, map-side combined; sites and tests are aggregated to small tables (ratios to
-at most ``_BINS`` bins before the cumulative rank); blocks meet the excess lines in one hash semi-join
-of narrow rows, where AQE splits hot lines.
+Method: for every (site, line) the urls of the site with and without the line stand against the urls of all
+other sites with and without the same line; the log-likelihood ratio of this table is large where the
+line belongs to the site. A prompt that most sites share is as frequent outside as inside, and a corpus of
+one site has no outside; hence a second null: the line is on no more urls of its site than an ordinary
+line, whose number of urls is the median over all (site, line) of the corpus. Excess against either null
+counts, at twice the smaller p-value. Benjamini-Hochberg controls the false-discovery rate over all
+(site, line), also those too rare to be reported. Significant excess lines on at least ``min_urls`` urls
+are removed by an anti-join, and what is left is put together by position.
+
+Plan: the table is read once; narrow hashed keys go to the shared folder and everything else works on
+them. One shuffle of distinct (site, line, url) with map-side combine gives the counts; only lines on
+``min_urls`` urls or more are tested (the others count in the family, so the control is conservative);
+blocks meet the excess lines in one semi-join of narrow rows, where AQE splits hot lines.
 
 Cases: a null text has no line; null domain falls back to the host of ``url``, both null give site
-null, which is a site of its own; blocks on a null url count for no page; a repeated delivery counts
+null, which is a site of its own; blocks on a null url count for no url; a repeated delivery counts
 once (pages are counted by distinct url, results by distinct block); an empty table gives no rows.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from pagestrata.session import stored
 
-_BINS = 4000
+_BINS = 1600
 _SEED = "\u0001"
 
 
@@ -49,65 +49,85 @@ def is_line(line: Column) -> Column:
 
 
 def keyed(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``site`` and two independent hashes of their line (null where it is no case)."""
-    line = line_of(F.col("text"))
-    with_line = blocks.withColumn("site", site_of(F.col("wayback_domain"), F.col("url"))).withColumn("_line", line).withColumn("_line", F.when(is_line(F.col("_line")), F.col("_line")))
+    """Blocks with hashes of their site (``s``), of their url (``u``) and two of their line (null where it is no case)."""
+    with_line = blocks.withColumn("s", F.xxhash64(site_of(F.col("wayback_domain"), F.col("url")))).withColumn("_line", line_of(F.col("text"))).withColumn("_line", F.when(is_line(F.col("_line")), F.col("_line")))
     with_line = with_line.withColumn("u", F.when(F.col("url").isNotNull(), F.xxhash64("url")))
     return with_line.withColumns({"h1": F.when(F.col("_line").isNotNull(), F.xxhash64("_line")), "h2": F.when(F.col("_line").isNotNull(), F.xxhash64(F.lit(_SEED), "_line"))}).drop("_line")
 
 
-def _llr(k1: Column, n1: Column, rate: Column) -> Column:
-    """Twice the log-likelihood ratio of k1 hits in n1 against a known rate; 0 where there is no excess."""
-    p = k1 / n1
-    right = F.when(k1 < n1, (n1 - k1) * F.log((1 - p) / (1 - rate))).otherwise(F.lit(0.0))
-    return F.when(p > rate, 2 * (k1 * F.log(p / rate) + right)).otherwise(F.lit(0.0))
+def _part(k: Column, share: Column) -> Column:
+    """k log(share), 0 where k is 0."""
+    return F.when(k > 0, k * F.log(share)).otherwise(F.lit(0.0))
 
 
-def excess_lines(keys: DataFrame, min_urls: int = 10, fdr: float = 0.01) -> DataFrame:
-    """(site, h1, h2, urls, site_urls, llr) of the significant excess lines.
+def llr_outside(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
+    """Log-likelihood ratio of k1 in n1 inside against k2 in n2 outside; 0 where the inside has no excess."""
+    one = lambda k, n, p: _part(k, p) + _part(n - k, 1 - p)
+    p1, p2, p = k1 / n1, k2 / F.greatest(n2, F.lit(1)), (k1 + k2) / (n1 + n2)
+    return F.when((n2 > 0) & (p1 > p2), 2 * (one(k1, n1, p1) + one(k2, n2, p2) - one(k1, n1, p) - one(k2, n2, p))).otherwise(F.lit(0.0))
 
-    ``keys`` needs site, h1, h2 and u, the hash of the url.
-    """
-    seen = keys.filter("h1 IS NOT NULL AND u IS NOT NULL").select("site", "h1", "h2", "u").distinct()
-    lines = seen.groupBy("site", "h1", "h2").agg(F.count("*").alias("urls"))
-    sites = keys.filter("u IS NOT NULL").select("site", "u").distinct().groupBy("site").agg(F.count("*").alias("site_urls"))
-    per_site = lines.groupBy("site").agg(F.sum("urls").alias("occ"), F.count("*").alias("kinds"))
-    totals = sites.join(per_site, sites.site.eqNullSafe(per_site.site), "left").agg(F.sum("site_urls").alias("N"), F.sum("occ").alias("O"), F.sum("kinds").alias("K"))
-    base = sites.alias("s").join(per_site.alias("p"), F.expr("s.site <=> p.site")).select("s.site", "site_urls", "occ", "kinds")
-    base = base.withColumns({c: totals.select(c).scalar() for c in ("N", "O", "K")})
-    pages_out = F.greatest(F.col("N") - F.col("site_urls"), F.lit(1))
-    kinds_out = F.greatest(F.col("K") - F.col("kinds"), F.lit(1))
-    rate = F.least(F.greatest((F.col("O") - F.col("occ")) / kinds_out / pages_out, 1 / (F.col("N") + 1.0)), F.lit(0.5))
-    base = base.withColumn("rate", rate).select("site", "site_urls", "rate")
-    tests = lines.alias("l").join(base.alias("b"), F.expr("l.site <=> b.site")).select("l.site", "h1", "h2", "urls", "site_urls", "rate")
-    tests = tests.withColumn("llr", _llr(F.col("urls"), F.col("site_urls").cast("double"), F.col("rate")))
-    tests = tests.withColumn("bin", F.least(F.floor(F.col("llr") * 8), F.lit(_BINS)))
-    # Benjamini-Hochberg on bins: a bin's largest p-value (chi-square, one degree, by its upper bound) against its share of the rank.
-    bins = tests.groupBy("bin").agg(F.count("*").alias("n"))
-    rank = F.sum("n").over(Window.orderBy(F.desc("bin")))
-    total = F.sum("n").over(Window.partitionBy())
-    x = F.greatest(F.col("bin") / 8, F.lit(1e-9))
-    p = F.exp(-x / 2) * F.sqrt(F.lit(2 / 3.141592653589793) / x)
-    cut = bins.withColumns({"rank": rank, "total": total}).filter(p <= F.lit(fdr) * F.col("rank") / F.col("total")).agg(F.min("bin").alias("cut"))
-    return tests.filter((F.col("bin") >= cut.scalar()) & (F.col("urls") >= min_urls)).drop("bin", "rate")
+
+def llr_ordinary(k: Column, ordinary: Column) -> Column:
+    """Log-likelihood ratio of k urls against the urls of an ordinary line (Poisson); 0 where there is no excess."""
+    return F.when(k > ordinary, 2 * (k * F.log(k / ordinary) - (k - ordinary))).otherwise(F.lit(0.0))
+
+
+def p_value(llr: Column) -> Column:
+    """Upper bound of the tail of the chi-square distribution of one degree."""
+    x = F.greatest(llr, F.lit(1e-9))
+    return F.least(F.lit(1.0), F.exp(-x / 2) * F.sqrt(F.lit(2 / 3.141592653589793) / x))
+
+
+def excess_lines(keys: DataFrame, min_urls: int = 10, fdr: float = 0.01) -> DataFrame:
+    """(s, h1, h2, urls, site_urls, llr) of the significant excess lines; ``keys`` needs s, h1, h2 and u."""
+    seen = keys.filter("h1 IS NOT NULL AND u IS NOT NULL").select("s", "h1", "h2", "u").distinct()
+    lines = stored(seen.groupBy("s", "h1", "h2").agg(F.count("*").alias("urls")), "site-line-counts")
+    sites = stored(keys.filter("u IS NOT NULL").select("s", "u").distinct().groupBy("s").agg(F.count("*").alias("site_urls")), "site-urls")
+    # The family, its median and all urls: three numbers.
+    by_count = lines.groupBy("urls").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("urls"))  # as many rows as there are different counts
+    whole = by_count.select("urls", upto.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("tests"))
+    ordinary, tests = whole.filter("2 * upto >= tests").agg(F.min("urls"), F.max("tests")).first()
+    everywhere = sites.agg(F.sum("site_urls")).first()[0] or 0
+    can = lines.filter(F.col("urls") >= min_urls)
+    outside = lines.join(can.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.sum("urls").alias("all_urls"))
+    tested = can.join(outside, ["h1", "h2"]).join(sites, "s")
+    k1, n1 = F.col("urls"), F.col("site_urls")
+    best = F.greatest(llr_outside(k1, n1, F.col("all_urls") - k1, F.lit(everywhere) - n1), llr_ordinary(k1, F.lit(float(ordinary or 1))))
+    # A bin holds ratios up to its upper end; its p-value is that of its lower end.
+    tested = stored(tested.select("s", "h1", "h2", "urls", "site_urls", best.alias("llr"), F.least(F.floor(best * 8), F.lit(_BINS)).alias("bin")), "site-line-tests")
+    bins = tested.groupBy("bin").agg(F.count("*").alias("n"))
+    rank = F.sum("n").over(Window.orderBy(F.desc("bin")))  # at most _BINS + 1 rows
+    cut = bins.withColumn("rank", rank).filter(2 * p_value(F.col("bin") / 8) <= F.lit(fdr) * F.col("rank") / F.lit(max(1, tests or 1))).agg(F.min("bin")).first()[0]
+    return tested.filter(F.col("bin") >= F.lit(cut if cut is not None else _BINS + 1)).drop("bin")
+
+
+_SAME = "k.h1 = x.h1 AND k.h2 = x.h2 AND k.s = x.s"
 
 
 def find_site_lines(blocks: DataFrame, min_urls: int = 10, fdr: float = 0.01) -> DataFrame:
     """(block_id) of the blocks whose line is a significant excess line of their site, once each."""
-    keys = stored(keyed(blocks.select("block_id", "text", "url", "wayback_domain")).select("block_id", "site", "h1", "h2", "u"), "site-line-keys")
-    lines = excess_lines(keys, min_urls, fdr)
-    hit = keys.filter("h1 IS NOT NULL").alias("k").join(lines.alias("x"), F.expr("k.h1 = x.h1 AND k.h2 = x.h2 AND k.site <=> x.site"), "left_semi")
+    keys = stored(keyed(blocks.select("block_id", "text", "url", "wayback_domain")).select("block_id", "s", "h1", "h2", "u"), "site-line-keys")
+    hit = keys.filter("h1 IS NOT NULL").alias("k").join(excess_lines(keys, min_urls, fdr).alias("x"), F.expr(_SAME), "left_semi")
     return hit.select("block_id").distinct()
 
 
 def without_site_lines(blocks: DataFrame, min_urls: int = 10, fdr: float = 0.01, segment: int = 2000) -> DataFrame:
-    """(url, segment, text, blocks): every page without its excess lines, put together by position.
+    """(url, wayback_timestamp, segment, part, text, blocks): every capture of a page without its excess lines, put together by position.
 
-    A page is cut into segments of ``segment`` positions, so that no page, however long, is one group.
+    A capture is cut into segments of ``segment`` positions; where more than twice as many blocks share one (repeated
+    or null positions), it is cut further into parts of ``segment`` ids, so no group is unbounded. Blocks without
+    a url belong to no page and stand alone.
     """
-    keys = keyed(blocks.select("block_id", "text", "url", "wayback_domain", "position"))
-    lines = excess_lines(stored(keys.select("site", "h1", "h2", "u"), "site-line-keys"), min_urls, fdr)
-    kept = keys.alias("k").join(lines.alias("x"), F.expr("k.h1 = x.h1 AND k.h2 = x.h2 AND k.site <=> x.site"), "left_anti").dropDuplicates(["block_id"])
-    part = kept.filter("text IS NOT NULL").withColumn("segment", F.floor(F.coalesce(F.col("position"), F.lit(0)) / segment))
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("position", F.lit(0)).alias("position"), "block_id", "text")))
-    return part.groupBy("url", "segment").agg(ordered.alias("b")).select("url", "segment", F.expr("array_join(transform(b, x -> x.text), '\\n')").alias("text"), F.size("b").alias("blocks"))
+    keys = keyed(blocks.select("block_id", "text", "url", "wayback_domain", "wayback_timestamp", "position"))
+    lines = excess_lines(stored(keys.select("s", "h1", "h2", "u"), "site-line-keys"), min_urls, fdr)
+    kept = keys.filter("text IS NOT NULL").alias("k").join(lines.alias("x"), F.expr(_SAME), "left_anti").dropDuplicates(["block_id"])
+    place = F.floor(F.coalesce(F.col("position"), F.lit(0)) / segment)
+    kept = stored(kept.select("url", "wayback_timestamp", place.alias("segment"), F.coalesce("position", F.lit(0)).alias("position"), "block_id", "text"), "site-line-rest")
+    group = ["url", "wayback_timestamp", "segment"]
+    crowded = kept.filter("url IS NOT NULL").groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > 2 * segment)
+    match = F.expr("k.url = c.url AND k.wayback_timestamp <=> c.wayback_timestamp AND k.segment = c.segment")
+    part = F.when(F.col("k.url").isNull(), F.col("k.block_id")).when(F.col("c.n").isNotNull(), F.floor(F.col("k.block_id") / segment)).otherwise(F.lit(0)).cast("bigint")
+    placed = kept.alias("k").join(crowded.alias("c"), match, "left").select("k.*", part.alias("part"))
+    ordered = F.array_sort(F.collect_list(F.struct("position", "block_id", "text")))
+    return placed.groupBy(*group, "part").agg(ordered.alias("b")).select(*group, "part", F.expr("array_join(transform(b, x -> x.text), '\\n')").alias("text"), F.size("b").alias("blocks"))

@@ -117,15 +117,15 @@ def block_rows(seed=2, n=1500):
     for i in range(n):
         site = rng.choice(["a.example", "a.example", "b.example", "c.example"])
         text = rng.choice([f"Share this page {rng.randint(1, 9)} times", "All rights reserved here", "one two", "1 2 3 4", None, "", " ".join(rng.choice(WORDS) for _ in range(8))])
-        rows.append((i, text, f"https://{site}/{rng.randint(1, 60)}", rng.choice([site, "www." + site.upper() + ":443", None]), rng.randint(1, 50)))
+        rows.append((i, text, f"https://{site}/{rng.randint(1, 60)}", rng.choice([site, "www." + site.upper() + ":443", None]), rng.choice(["20200101000000", None]), rng.randint(1, 50)))
     return rows + rows[:30]
 
 
 def test_site_lines_against_brute_force(spark):
     rows = block_rows()
-    df = spark.createDataFrame(rows, "block_id bigint, text string, url string, wayback_domain string, position int").withColumns({"site": F.lit("clash"), "h1": F.lit(1), "urls": F.lit(2)})
+    df = spark.createDataFrame(rows, BLOCK).withColumns({"site": F.lit("clash"), "h1": F.lit(1), "urls": F.lit(2)})
     pages, ids = {}, {}
-    for b, t, u, _, _ in rows:
+    for b, t, u, *_ in rows:
         words = re.findall(r"[^\W_]+", re.sub("[0-9]+", "0", (t or "").lower()))
         if len(words) >= 3 and sum(any(c.isalpha() for c in w) for w in words) >= 2:
             key = (u.split("/")[2], tuple(words))
@@ -194,3 +194,45 @@ def test_sentence_learning_and_edges(spark):
         assert piece and piece == piece.strip()
     assert len([r for r in got if r["doc_id"] == 0]) == 2
     assert sentences.split_sentences(df.limit(0)).count() == 0
+
+
+BLOCK = "block_id bigint, text string, url string, wayback_domain string, wayback_timestamp string, position int"
+
+
+def line_rows(sites, prompts):
+    """One block of unlike words on every url of every site, and the prompts: (text, site, urls)."""
+    rows = [(f"ordinary words {site} number{i}x{i % 7} once", f"https://{site}/{i}", site) for site, n in sites.items() for i in range(n)]
+    rows += [(text, f"https://{site}/{i}", site) for text, site, n in prompts for i in range(n)]
+    letters = "abcdefghij"
+    spelled = lambda t: re.sub(r"[0-9]+(?=x)", lambda m: "".join(letters[int(c)] for c in m.group()), t)
+    return [(i, spelled(t), u, s, "20200101000000", 1) for i, (t, u, s) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("sites", [{"big.example": 3000, "small.example": 30}, {"big.example": 500}, {"a.example": 200, "b.example": 200, "c.example": 200, "d.example": 12}])
+def test_site_lines_beside_a_dominant_site_and_alone(spark, sites):
+    prompts = [("share this page now", s, 12) for s in sites] + [("seldom seen line here", s, 9) for s in sites]
+    rows = line_rows(sites, prompts)
+    got = {r[0] for r in site_lines.find_site_lines(spark.createDataFrame(rows, BLOCK)).collect()}
+    assert got == {r[0] for r in rows if r[1].startswith("share")}
+
+
+def test_a_line_on_ten_urls_that_is_no_excess_stays(spark):
+    # Every line of these sites is on eight or nine urls; eleven are no excess there, sixty are.
+    lines = [(f"verse {'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} of the song", s, 8 + i % 2) for s in ("a.example", "b.example") for i in range(100)]
+    rows = line_rows({"a.example": 0}, [*lines, ("verse eleven of song", "a.example", 11), ("verse sixty of song", "a.example", 60)])
+    got = {r[0] for r in site_lines.find_site_lines(spark.createDataFrame(rows, BLOCK)).collect()}
+    assert got == {r[0] for r in rows if "sixty" in r[1]}
+
+
+def test_pages_without_site_lines_are_whole_captures(spark):
+    prompts = [("share this page now", "a.example", 12)]
+    rows = line_rows({"a.example": 40}, prompts)
+    n = len(rows)
+    more = [(n, "later", "https://a.example/1", "a.example", "20200101000000", 5), (n + 1, "other capture", "https://a.example/1", "a.example", "20210101000000", 1)]
+    lone = [(n + 2 + i, f"no url {'xyz'[i]}", None, "a.example", None, None) for i in range(3)]
+    crowd = [(1_000_000 + i, f"line {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}", "https://b.example/", None, None, None) for i in range(50)]
+    got = site_lines.without_site_lines(spark.createDataFrame([*rows, *more, *lone, *crowd], BLOCK), segment=10).collect()
+    assert len([r for r in got if r["url"] is None]) == 3 and all(r["blocks"] == 1 for r in got if r["url"] is None)
+    assert sum(r["blocks"] for r in got) == 40 + 2 + 3 + 50 and all(r["blocks"] <= 10 for r in got)
+    texts = {r["text"] for r in got if r["url"] == "https://a.example/1"}
+    assert texts == {rows[1][1] + "\nlater", "other capture"}
