@@ -236,3 +236,51 @@ def test_pages_without_site_lines_are_whole_captures(spark):
     assert sum(r["blocks"] for r in got) == 40 + 2 + 3 + 50 and all(r["blocks"] <= 10 for r in got)
     texts = {r["text"] for r in got if r["url"] == "https://a.example/1"}
     assert texts == {rows[1][1] + "\nlater", "other capture"}
+
+
+SCRIPTS = {  # per script: a small word, a word with a capital, an abbreviation that is in no list, a name
+    "latin": ("stone", "River", "qwzx", "Kurosz"),
+    "cyrillic": ("камінь", "Ріка", "щжкв", "Ждурак"),
+    "greek": ("πέτρα", "Ποτάμι", "ψξζβ", "Κουρόξ"),
+    "armenian": ("քար", "Գետ", "ժծկղ", "Կուրոշ"),
+    "coptic": ("ⲱⲛⲓ", "Ⲓⲁⲣⲟ", "ϫϭⲝⲯ", "Ⲕⲩⲣⲟⲥ"),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_made_up_abbreviations_and_names_by_their_document(script):
+    small, cap, abbr, name = SCRIPTS[script]
+    cut = lambda t: [t[a:b] for a, b in sentences.sentences(t)]
+    shown = f"{cap} {abbr}. {small} {small}, {small} {name} {small}."
+    assert cut(f"{shown} {cap} {abbr}. {name} {small}.") == [shown, f"{cap} {abbr}. {name} {small}."]
+    assert cut(f"{cap} {small} {abbr}. {name} {small}.") == [f"{cap} {small} {abbr}.", f"{name} {small}."]  # without evidence a stop ends
+    assert cut(f"{shown} {cap} {small}. {name} {small}.") == [shown, f"{cap} {small}.", f"{name} {small}."]
+
+
+def test_a_listed_word_is_none_where_its_document_has_it_plain():
+    cut = lambda t: [t[a:b] for a, b in sentences.sentences(t)]
+    assert cut("The red car stood. Its door was red. Nobody came.") == ["The red car stood.", "Its door was red.", "Nobody came."]
+    assert cut("Tu red. Kowal pisze.") == ["Tu red. Kowal pisze."]
+
+
+def test_corpus_evidence_without_lists(spark, monkeypatch):
+    for name in ("OPEN_ABBREVIATIONS", "CLOSING_ABBREVIATIONS", "BEFORE_ORDINAL"):
+        monkeypatch.setattr(sentences, name, frozenset())
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    texts = [f"{say(4).capitalize()} абвг. {rng.randint(1, 99)} {say(3)}. Було {say(2)} о деже. {say(3).capitalize()}. Am {rng.randint(1, 30)}. Juni {say(2)}." for _ in range(60)]
+    learned = sentences.learn_abbreviations(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"))
+    assert learned == {"абвг": False, "деже": True, "am #": False}
+    cut = lambda t: [t[a:b] for a, b in sentences.sentences(t, learned)]
+    assert cut("Тут абвг. Рада вийшла о деже. Школа діє am 5. Juni.") == ["Тут абвг. Рада вийшла о деже.", "Школа діє am 5. Juni."]
+
+
+@pytest.mark.parametrize("piece", ["a.", "(", "“", "‘a’b", "a. ", ". ", "1. ", "a@", '"', "ж", "ก ", ".A"])
+def test_sentences_of_a_megabyte_line(piece):
+    import time
+
+    text = piece * (600_000 // len(piece))
+    began = time.perf_counter()
+    got = sentences.sentences(text)
+    sentences.corpus_counts([text])
+    assert time.perf_counter() - began < 20 and all(0 <= a < b <= len(text) for a, b in got)
