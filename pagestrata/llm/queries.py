@@ -127,4 +127,15 @@ def oracle_sql() -> dict[str, str]:
                 string_agg(text, chr(10) ORDER BY position, block_id) AS text, count(*)::INT AS blocks
             FROM kept GROUP BY ALL
         """,
+        "p5_found": """
+            WITH v AS (
+                SELECT DISTINCT id, embedding::DOUBLE[] AS e FROM stored_record
+                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            ), pairs AS (
+                SELECT a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id
+            ), ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(c, 9) DESC, other) AS r FROM pairs
+            )
+            SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE r <= 5 AND c >= 0.9
+        """,
     }

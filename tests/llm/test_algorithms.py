@@ -107,6 +107,24 @@ def test_neighbours_small(spark):
     assert knn.most_similar(df.limit(0)).count() == 0 and knn.similar_pairs(df.limit(1)).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_neighbours_in_many_cells_reach_the_target(spark, clustered):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 64))
+    if clustered:
+        x = rng.standard_normal((60, 64))[rng.integers(0, 60, 6000)] + 0.3 * x
+    rows = [(i * 3, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<float>").repartition(4)
+    ids, s = np.array([i for i, _ in rows]), x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.flatnonzero(ids % 20 == 0)
+    cos = s[asked] @ s.T
+    cos[np.arange(len(asked)), asked] = -9
+    want = {(int(ids[a]), int(ids[b])) for a, row in zip(asked, cos) for b in np.argsort(-row)[:5]}
+    for options, least in (({"cell_size": 100, "tile": 300}, 0.9), ({"cell_size": 500, "fine": 3}, 0.9), ({"cell_size": 500, "exact": True}, 0.9999)):
+        got = {(r["id"], r["neighbour"]) for r in knn.most_similar(df, 5, **options).filter("id % 20 = 0").collect()}
+        assert len(got) == len(want) and len(got & want) / len(want) >= least
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     base, queries = rng.standard_normal((300, 64)), rng.standard_normal((40, 64))
