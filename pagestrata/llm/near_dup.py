@@ -2,8 +2,9 @@
 
 Method: prefix-filtered inverted lists with set-relation skipping. Sets are ordered by ascending
 document frequency of their shingles; a pair at Jaccard >= t must share a shingle within a short
-prefix. Inverted lists are sorted by set size and position, so whole blocks of a list are skipped by
-length and position bounds (index level). In verification the answer of a set is derived from the
+prefix. Inverted lists are sorted by set size and position and cut into blocks with the least and greatest
+size, position and rest of their sets; a pair of blocks whose bounds allow no similar pair is skipped
+whole, without a look at its sets (index level). In verification the answer of a set is derived from the
 computed answer of a highly similar set: only the few shingles in which the two differ are looked up
 (answer level). Equal sets are one class from the start and never meet each other in a list.
 
@@ -11,8 +12,11 @@ Scale. Shingle sets are computed once and written to the shared folder. Document
 packed numpy blobs by hash range, never as exploded rows. Shingles in more than ``hot_share`` of the
 sets (site furniture) are not shuffled at all: they stand last in the order, their number is bounded by
 average set size / hot_share. A set can have a partner only if a share t of its shingles occurs in
-other sets; the others leave after the first round trip. Long lists are cut into tiles. Every filter
-is exact: the result is that of comparing all pairs, up to hash collisions.
+other sets; the others leave after the first round trip. Lists of more than ``tile`` sets are cut into
+tiles that meet pairwise. Every filter is exact: the result is that of comparing all pairs, up to hash
+collisions. :func:`near_duplicate_groups` gives one row per record instead of pairs: sets that a first pass
+has linked through a leader are one group, and blocks within one group are skipped as well, so a large
+family of variants costs no more than its records.
 
 Classes of at most ``expand`` members give all their pairs; of larger classes every member is paired
 with the smallest id of the class, which stands for the class in its links to other classes.
@@ -287,17 +291,63 @@ def prefix_postings(sets: DataFrame, t: float, hot: np.ndarray, hot_counts: np.n
         return pa.table({"token": tokens.astype(np.int64), "sig": sig[at], "n": n[at].astype(np.int32), "pos": pos.astype(np.int32), "df": df.astype(np.int64)})
 
     narrow = sets.select("sig", "n", "tokens")
-    shared = narrow.mapInArrow(spread, "bucket int, tokens binary, owners binary, short boolean, sigs binary").groupBy("bucket").applyInArrow(count, _HOME)
+    shared = narrow.mapInArrow(spread, "bucket int, tokens binary, owners binary, short boolean, sigs binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, _HOME)
     header = narrow.mapInArrow(heads, _HOME)
-    return shared.unionAll(header).groupBy("home").applyInArrow(prefixes, "token bigint, sig bigint, n int, pos int, df bigint")
+    return shared.unionAll(header).repartition(buckets, "home").groupBy("home").applyInArrow(prefixes, "token bigint, sig bigint, n int, pos int, df bigint")
 
 
-def candidates(postings: DataFrame, t: float, tile: int = 1024) -> DataFrame:
-    """(sa, sb): distinct pairs of signatures that meet in a list and pass its length and position bounds."""
+def block_pairs(n: np.ndarray, pos: np.ndarray, t: float, group: np.ndarray | None = None, block: int = 16, at_once: int = 2048):
+    """Pairs (left, right) of one inverted list that pass the size and position bounds, in parts, each with the number of pairs it looked at.
+
+    The list is sorted by narrow size class and relative position. Its blocks are compared by their extremes first; a pair of blocks
+    is opened only where a pair of sets in it could pass. With ``group`` pairs within one group are left out, and blocks of
+    one group are skipped.
+    """
+    order = np.lexsort((n, pos / np.maximum(n, 1), np.floor(np.log(np.maximum(n, 1)) / -np.log(t) * 6)))
+    n, pos, group = n[order], pos[order], group[order] if group is not None else None
+    starts = np.arange(0, len(n), block)
+    least, most = (lambda x: np.minimum.reduceat(x, starts)), (lambda x: np.maximum.reduceat(x, starts))
+    rest = n - pos
+    low_n, high_n, high_rest = least(n), most(n), most(rest)
+    i, j = np.triu_indices(len(starts))
+    need = np.ceil(t / (1 + t) * (low_n[i] + low_n[j]) - 1e-9)
+    go = (low_n[j] * t <= high_n[i] + 1e-9) & (low_n[i] * t <= high_n[j] + 1e-9) & (np.minimum(high_rest[i], high_rest[j]) >= need)
+    if group is not None:
+        low_g, high_g = least(group), most(group)
+        go &= (low_g[i] != high_g[i]) | (low_g[j] != high_g[j]) | (low_g[i] != low_g[j])
+    i, j = i[go], j[go]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(block), np.arange(block), indexing="ij"))
+    for k in range(0, len(i), at_once):
+        x, y = (starts[i[k : k + at_once], None] + a).ravel(), (starts[j[k : k + at_once], None] + b).ravel()
+        inside = (x < y) & (y < len(n))
+        x, y = x[inside], y[inside]
+        looked = len(x)
+        hit = _passes(n[x], pos[x], n[y], pos[y], t)
+        if group is not None:
+            hit &= group[x] != group[y]
+        yield order[x[hit]], order[y[hit]], looked
+
+
+def _passes(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, t: float) -> np.ndarray:
+    """Whether sets of these sizes whose first common shingle stands at these positions can be similar: what they share stands there or behind."""
+    return (np.maximum(na, nb) * t <= np.minimum(na, nb) + 1e-9) & (np.minimum(na - pa_, nb - pb) >= np.ceil(t / (1 + t) * (na + nb) - 1e-9))
+
+
+def candidates(postings: DataFrame, t: float, tile: int = 16384, parts: int | None = None, long: int = 128) -> DataFrame:
+    """(sa, sb): distinct pairs of signatures that meet in a list and pass its length and position bounds.
+
+    Postings may have a column ``group``: then only pairs of different groups. ``parts`` is the number of shuffle partitions.
+    """
     tiles = F.greatest(F.lit(1), F.ceil(F.col("df") / tile)).cast("int")
     own = F.pmod(F.xxhash64("sig"), tiles).cast("int")
     cut = postings.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    cut = cut.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "n", "pos")
+    grouped = "group" in postings.columns
+    cut = cut.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "n", "pos", (F.col("group") if grouped else F.col("sig")).alias("group"))
+
+    def pack(sa, sb, pa_, pb, na, nb):
+        swap = sa > sb
+        pick = lambda x, y: pa.array(np.where(swap, y, x).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pick(sa, sb), pick(sb, sa), pa.array(np.ones(len(sa), np.int64)), pick(pa_, pb), pick(pb, pa_), pick(na, nb), pick(nb, na)], names=["sa", "sb", "met", "pa", "pb", "na", "nb"])
 
     def meet(batches):
         carry = None
@@ -306,43 +356,45 @@ def candidates(postings: DataFrame, t: float, tile: int = 1024) -> DataFrame:
         while not done:
             batch = next(batches, None)
             done = batch is None
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)] if not done else [np.empty(0, np.int64)] * 7
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(8)] if not done else [np.empty(0, np.int64)] * 8
             if carry is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(carry, cols)]
-            token, i, j, own, sig, n, pos = cols
+            token, i, j, own, sig, n, pos, group = cols
             if not len(token):
                 continue
             run = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))])
             end = len(run) if done else int(np.searchsorted(run, run[-1]))  # the last list may go on
             carry = None if done else [c[end:] for c in cols]
-            run, own, sig, n, pos, diagonal = run[:end], own[:end], sig[:end], n[:end].astype(np.int64), pos[:end].astype(np.int64), (i == j)[:end]
-            active, d, left, right = np.arange(end), 1, [], []
-            while len(active):
+            run, own, sig, n, pos, group, diagonal = run[:end], own[:end], sig[:end], n[:end].astype(np.int64), pos[:end].astype(np.int64), group[:end], (i == j)[:end]
+            edges = _edges(run)
+            sizes = np.diff(edges)
+            fine = lambda x, y: (sig[x] != sig[y]) & (diagonal[x] | (own[x] != own[y]))  # noqa: B023, E731
+            active, d = np.flatnonzero(np.repeat(sizes < long, sizes)), 1
+            while len(active):  # short lists all at once, by distance within the list
                 active = active[active + d < end]
                 other = active + d
-                go = (run[other] == run[active]) & (n[other] * t <= n[active] + 1e-9)  # lists are sorted by size: what fails here is skipped for good
+                go = (run[other] == run[active]) & (n[other] * t <= n[active] + 1e-9)  # sorted by size: what fails here is skipped for good
                 active, other = active[go], other[go]
-                least = np.ceil(t / (1 + t) * (n[active] + n[other]) - 1e-9)
-                bound = np.minimum(pos[active], pos[other]) + np.minimum(n[active] - pos[active], n[other] - pos[other])
-                hit = (bound >= least) & (sig[active] != sig[other]) & (diagonal[active] | (own[active] != own[other]))
-                left.append(active[hit])
-                right.append(other[hit])
+                hit = _passes(n[active], pos[active], n[other], pos[other], t) & fine(active, other)
+                if grouped:
+                    hit &= group[active] != group[other]
+                x, y = active[hit], other[hit]
+                if len(x):
+                    yield pack(sig[x], sig[y], pos[x], pos[y], n[x], n[y])
                 d += 1
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                swap = sig[x] > sig[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                order = np.lexsort((sig[y], sig[x]))
-                x, y = x[order], y[order]
-                starts = np.concatenate([[0], np.flatnonzero((sig[x[1:]] != sig[x[:-1]]) | (sig[y[1:]] != sig[y[:-1]])) + 1]) if len(x) else np.empty(0, np.int64)
-                met = np.diff(np.concatenate([starts, [len(x)]])) if len(x) else starts
-                last = lambda z: np.maximum.reduceat(pos[z], starts) if len(x) else starts
-                cols = (sig[x[starts]], sig[y[starts]], met, last(x), last(y), n[x[starts]], n[y[starts]])
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["sa", "sb", "met", "pa", "pb", "na", "nb"])
-
-    lists = cut.repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions("token", "i", "j", "n", "pos")
+            for k in np.flatnonzero(sizes >= long):
+                a, b = edges[k], edges[k + 1]
+                for x, y, _ in block_pairs(n[a:b], pos[a:b], t, group[a:b] if grouped else None):
+                    x, y = x + a, y + a
+                    keep = fine(x, y)
+                    x, y = x[keep], y[keep]
+                    if len(x):
+                        yield pack(sig[x], sig[y], pos[x], pos[y], n[x], n[y])
+
+    keys = [F.col("token"), F.col("i"), F.col("j")]
+    lists = (cut.repartition(parts, *keys) if parts else cut.repartition(*keys)).sortWithinPartitions("token", "i", "j", "n", "pos")
     pairs = lists.mapInArrow(meet, "sa bigint, sb bigint, met bigint, pa bigint, pb bigint, na bigint, nb bigint").groupBy("sa", "sb").agg(F.sum("met").alias("met"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    # All common shingles up to the last one met are counted; what can follow is bounded by the shorter rest.
+    # Pairs pass in the lists of their first common shingles, so all up to the last one met are counted; what can follow is bounded by the shorter rest.
     least = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
     return pairs.filter(F.col("met") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb")) >= least).select("sa", "sb")
 
@@ -395,15 +447,19 @@ def verified(pairs: DataFrame, sets: DataFrame, t: float, small: int = 1_000_000
     return both.select("sa", "sb", "ta", "tb").sortWithinPartitions("sb", "sa").mapInArrow(run, "sa bigint, sb bigint, similarity double")
 
 
-def similar_classes(sets: DataFrame, t: float = 0.7, hot_share: float = 0.001, hot_floor: int = 64, tokens_per_bucket: int = 1_000_000) -> DataFrame:
-    """(sa, sb, similarity): all pairs of different shingle sets at similarity t or more."""
+def list_postings(sets: DataFrame, t: float, hot_share: float = 0.001, hot_floor: int = 64, tokens_per_bucket: int = 1_000_000) -> tuple[DataFrame, int]:
+    """The inverted lists of :func:`prefix_postings` and the number of partitions that keeps tasks small."""
     size = sets.agg(F.count("*"), F.sum("n")).first()
     total, tokens = size[0], size[1] or 0
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-tokens // tokens_per_bucket))
-    hot, counts = hot_shingles(sets, total, hot_share, hot_floor)
-    postings = prefix_postings(sets, t, hot, counts, buckets)
-    return verified(stored(candidates(postings, t), "near-dup-candidates"), sets, t)
+    return prefix_postings(sets, t, *hot_shingles(sets, total, hot_share, hot_floor), buckets), buckets
+
+
+def similar_classes(sets: DataFrame, t: float = 0.7, **options) -> DataFrame:
+    """(sa, sb, similarity): all pairs of different shingle sets at similarity t or more."""
+    postings, parts = list_postings(sets, t, **options)
+    return verified(stored(candidates(postings, t, parts=parts), "near-dup-candidates"), sets, t)
 
 
 def class_members(sets: DataFrame) -> DataFrame:
@@ -428,6 +484,49 @@ def near_duplicates(sets: DataFrame, t: float = 0.7, expand: int = 64, **options
     return within.unionAll(star).unionAll(across).filter("id_a < id_b").distinct()
 
 
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(sig, label): the least signature of the connected component of every signature in edges (sa, sb).
+
+    Labels pass to neighbours and jump to the label of their label, so a component of any shape takes about log(size) rounds;
+    each round is a table in the shared folder.
+    """
+    both = stored(edges.select("sa", "sb").union(edges.select(F.col("sb").alias("sa"), F.col("sa").alias("sb"))).distinct(), "near-dup-edges")
+    labels = stored(both.groupBy("sa").agg(F.least(F.first("sa"), F.min("sb")).alias("label")).withColumnRenamed("sa", "sig"), "near-dup-labels")
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("sig", "sb"), "sb").groupBy("sa").agg(F.min("label").alias("near"))
+        best = labels.join(near.withColumnRenamed("sa", "sig"), "sig").select("sig", "label", F.least("label", "near").alias("best"))
+        jump = labels.select(F.col("sig").alias("best"), F.col("label").alias("far"))
+        after = stored(best.join(jump, "best", "left").select("sig", F.least("best", F.coalesce("far", "best")).alias("label"), (F.col("label") != F.least("best", F.coalesce("far", "best"))).alias("moved")), "near-dup-labels")
+        moved = after.filter("moved").limit(1).count()
+        labels = after.drop("moved")
+        if not moved:
+            return labels
+    raise RuntimeError("components did not settle")
+
+
+def near_duplicate_groups(sets: DataFrame, t: float = 0.8, **options) -> DataFrame:
+    """(kind, id, group_id, group_size): every record of ``sets`` with the least id of its group of records linked at similarity t or more.
+
+    Each set is compared with the first set of its size class in each of its lists; what is linked so is one group. Then
+    all lists are searched for pairs of different groups only, so no pair within a family has to be formed.
+    """
+    postings, parts = list_postings(sets, t, **options)
+    postings = stored(postings, "near-dup-postings")
+    size_class = F.floor(F.log("n") / F.lit(float(np.log(1 / t)))).cast("int")
+    classed = postings.select("token", size_class.alias("class"), "sig")
+    leaders = classed.groupBy("token", "class").agg(F.min("sig").alias("leader"), F.count("*").alias("c")).filter("c > 1")
+    first = classed.join(leaders, ["token", "class"]).filter("sig != leader").select(F.least("sig", "leader").alias("sa"), F.greatest("sig", "leader").alias("sb")).distinct()
+    links = stored(verified(stored(first, "near-dup-leaders"), sets, t), "near-dup-links")
+    labels = components(links)
+    grouped = postings.join(labels, "sig", "left").withColumn("group", F.coalesce("label", "sig")).drop("label")
+    across = verified(stored(candidates(grouped, t, parts=parts), "near-dup-candidates"), sets, t)
+    joined = links.select("sa", "sb").unionAll(across.select("sa", "sb"))
+    labels = components(joined)
+    members = stored(class_members(sets).join(labels, "sig", "left").select("kind", "id", F.coalesce("label", "sig").alias("label")), "near-dup-members")
+    sizes = members.groupBy("kind", "label").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
+    return members.join(sizes, ["kind", "label"]).select("kind", "id", "group_id", "group_size")
+
+
 def page_sets(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 150, k: int = 3) -> DataFrame:
     """Shingle sets of the visible text of html pages."""
     return shingle_sets(pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("text")), "page", least, k, visible_text, salt=2)

@@ -31,6 +31,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_near_dup_sets(spark, sf_dir), 0.7).select("kind", "id_a", "id_b")
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of pages and of blocks linked at five-word shingle similarity of 0.8 or more: one row per record."""
+    pages = near_dup.page_sets(table(spark, sf_dir, "html_document"), least=20, k=5)
+    blocks = near_dup.block_sets(table(spark, sf_dir, "text_block"), least=20, k=5)
+    return near_dup.near_duplicate_groups(stored(pages.unionAll(blocks), "near-dup-sets"), 0.8)
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, metas = table(spark, sf_dir, "html_document"), table(spark, sf_dir, "snapshot_meta")
     of_pages = mojibake.visible(pages, "page_id", "html", F.col("wayback_metadata.title")).select(F.lit("html_document").alias("tab"), "rec_id", "text")
@@ -97,7 +104,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_neighbours, p7_found, p8_ids, p9_mix, p9_sample, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_neighbours, p7_found, p8_ids, p9_mix, p9_sample, p10_found)}
 
 
 _SITE = r"regexp_replace(regexp_replace(lower(trim(coalesce(wayback_domain, regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)', 1)))), '^www\.', ''), ':[0-9]*$', '')"

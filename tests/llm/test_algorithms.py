@@ -59,6 +59,61 @@ def test_large_classes_are_stars(spark):
     assert {("block", min(hot[0], x), max(hot[0], x)) for x in outside} <= got
 
 
+def test_blocks_of_a_list_are_skipped_by_position():
+    rng = np.random.default_rng(4)
+    n = np.sort(rng.integers(20, 200, 3000))
+    pos = (rng.random(3000) * 0.3 * n).astype(np.int64)
+    order = np.lexsort((pos, n))
+    n, pos = n[order], pos[order]
+    got, looked = set(), 0
+    for x, y, seen in near_dup.block_pairs(n, pos, 0.7):
+        got |= set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+        looked += seen
+    i, j = np.triu_indices(3000, 1)
+    window = n[j] * 0.7 <= n[i] + 1e-9
+    want = window & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= np.ceil(0.7 / 1.7 * (n[i] + n[j]) - 1e-9))
+    assert got == set(zip(i[want].tolist(), j[want].tolist())) and looked < window.sum() * 0.7
+    # By position alone: sets of one size whose common shingle stands early in some and late in others.
+    n, pos = np.full(2000, 100), np.repeat([0, 29], 1000)
+    assert sum(seen for *_, seen in near_dup.block_pairs(n, pos, 0.7)) < 2000 * 1999 / 2 * 0.3
+    group = np.repeat([5, 6], 1000)
+    assert sum(seen for *_, seen in near_dup.block_pairs(np.full(2000, 100), np.zeros(2000, np.int64), 0.7, group)) < 1_100_000
+    assert not any(len(x) for x, *_ in near_dup.block_pairs(n, pos, 0.7, np.zeros(2000, np.int64)))
+
+
+def brute_groups(pairs, ids):
+    parent = {i: i for i in ids}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for _, a, b in pairs:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in ids}
+
+
+def test_groups_against_brute_force(spark):
+    texts = family_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "block_id bigint, text string").repartition(4)
+    sets = near_dup.stored(near_dup.block_sets(df), "test-sets")
+    got = near_dup.near_duplicate_groups(sets, 0.7).collect()
+    ids = [r["id"] for r in sets.select("id").collect()]
+    want = brute_groups(brute_pairs(texts), ids)
+    assert {r["id"]: r["group_id"] for r in got} == want and len(got) == len(ids)
+    assert all(r["group_size"] == list(want.values()).count(r["group_id"]) for r in got)
+    assert near_dup.near_duplicate_groups(near_dup.block_sets(df.limit(0))).count() == 0
+
+
+def test_a_template_family_is_grouped_without_its_pairs(spark):
+    body = " ".join(f"word{i}" for i in range(60))
+    family = spark.range(20_000).select(F.col("id").alias("block_id"), F.concat(F.lit("headline "), F.col("id").cast("string"), F.lit(" "), F.lit(body)).alias("text"))
+    sets = near_dup.stored(near_dup.block_sets(family.repartition(4), k=5), "test-sets")
+    got = near_dup.near_duplicate_groups(sets, 0.8)
+    assert [tuple(r) for r in got.groupBy("group_id", "group_size").agg(F.count("*")).collect()] == [(0, 20_000, 20_000)]
+
+
 def test_near_duplicate_pages_and_empty(spark):
     body = " ".join(f"слово{i}" for i in range(200))
     pages = [(1, f"<p>{body}</p>"), (2, f"<script>x</script><p>{body} кінець</p><!-- c -->"), (3, None)]
