@@ -9,7 +9,8 @@ wildcards among all characters the corpus holds. Where no channel wins, the char
 stand as written: the most frequent of all words that fits fills the gap (a join), else character pairs do.
 Counts are hashed into cells (words in three rows, the least of which counts), so the model has a fixed size at any corpus size and is summed per task.
 
-A record is a case when a token's best decoding beats the token as it stands, or when bytes were lost.
+A record is a case when a token's best decoding beats the token as it stands; a token with lost bytes is decoded the
+same way and is a case even where no decoding of its lattice wins, since bytes are gone.
 Cases: null and empty texts are never cases; a null id is kept; repeated deliveries give one row; an
 empty table gives no rows; further columns are ignored; texts of any length are read whole.
 """
@@ -114,13 +115,11 @@ class Frequencies:
         return out
 
 
-def count_frequencies(texts: DataFrame, vocabulary: int = 50_000) -> Frequencies:
-    """Frequencies over a one-column table of texts (html is reduced to its visible text), repetition bounded.
+def count_frequencies(texts: DataFrame) -> Frequencies:
+    """Frequencies over a one-column table of texts, repetition bounded.
 
     Segments are lines and the parts of a title between bars. A segment that a hot site or a group of copies repeats counts for at
     most 1e-5 of all words, so a garbled one cannot become sound by repetition and a sound one is not forgotten.
-
-    ``vocabulary`` bounds only the word list from which lost bytes are filled; the counts cover all words.
     """
 
     def run(batches):
@@ -239,6 +238,16 @@ def best_decoding(token: str, freq: Frequencies, margin: float = 8.0, depth: int
     return got
 
 
+@lru_cache(maxsize=1)
+def _small_table() -> np.ndarray:
+    return np.array([ord(chr(c).lower()[0]) for c in range(0x10000)], np.uint32)
+
+
+def _small(codes: np.ndarray) -> np.ndarray:
+    """Code points in lower case."""
+    return np.where(codes < 0x10000, _small_table()[np.minimum(codes, 0xFFFF)], codes)
+
+
 def _log_pairs(freq: Frequencies, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Log-probability of every character of ``after`` behind every one of ``before`` (rows)."""
     h = ((before * np.uint32(0x9E3779B1))[:, None] ^ (after * np.uint32(0x85EBCA77))[None, :]) >> np.uint32(14)
@@ -285,7 +294,7 @@ def decode_lattice(raw: list[int | None], writer: str, freq: Frequencies) -> str
         before = np.concatenate([x[0] for x in steps[at]])
         score = np.concatenate([x[1] for x in steps[at]])
         steps[at] = (before, score, [y for x in steps[at] for y in (x[2] or [None])])
-        low = np.array([ord(chr(c).lower()[0]) for c in before], np.uint32)
+        low = _small(before)
         options = [(1, np.array([raw[at]], np.uint32))] if raw[at] is not None and raw[at] < 128 else []
         if not options:
             for n, (codes, table) in alphabet.items():
@@ -298,7 +307,7 @@ def decode_lattice(raw: list[int | None], writer: str, freq: Frequencies) -> str
                     if fit.any():
                         options.append((n, codes[fit]))
         for n, codes in options:
-            after = np.array([ord(chr(c).lower()[0]) for c in codes], np.uint32)
+            after = _small(codes)
             through = score[:, None] + _log_pairs(freq, low, after)
             best = through.argmax(0)
             links = [(at, int(b), n) for b in best]
@@ -500,7 +509,7 @@ class Restorer:
         """Whether a text holds any wrongly decoded token."""
         if not text or text.isascii():
             return False
-        return LOST in text or any(self.token(t) for t in dict.fromkeys(_TOKEN.findall(text)))
+        return any(self.token(t) for t in dict.fromkeys(_TOKEN.findall(text)))
 
     def restore(self, text: str | None) -> tuple[str | None, str | None]:
         """(restored text, channels); (text, null) where nothing is damaged. Lost bytes of well-read tokens stay for :func:`fill_lost`."""
