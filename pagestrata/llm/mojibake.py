@@ -283,20 +283,26 @@ def lost_bytes(token: str, reader: str) -> list[int | None] | None:
     return out
 
 
-def decode_lattice(raw: list[int | None], writer: str, freq: Frequencies) -> str | None:
-    """The likeliest text of bytes with wildcards: Viterbi over (byte, last character), then each lost place again under word counts."""
+def decode_lattice(raw: list[int | None], writer: str, freq: Frequencies, paths: int = 192) -> str | None:
+    """The likeliest text of bytes with wildcards: a Viterbi search by character pairs that keeps the ``paths`` best at every byte, ranked at the end by word frequencies."""
     alphabet = _alphabet(freq, writer)
-    steps: list = [None] * (len(raw) + 1)
-    steps[0] = [(np.array([32], np.uint32), np.zeros(1), None)]
-    for at in range(len(raw)):
-        if steps[at] is None:
+    steps: list[list] = [[] for _ in range(len(raw) + 1)]  # at each byte: parts (character, score, byte before, path before)
+    steps[0] = [(np.array([32], np.uint32), np.zeros(1), -1, np.array([-1]))]
+    kept: list = [None] * (len(raw) + 1)
+    for at in range(len(raw) + 1):
+        if not steps[at]:
             continue
-        before = np.concatenate([x[0] for x in steps[at]])
-        score = np.concatenate([x[1] for x in steps[at]])
-        steps[at] = (before, score, [y for x in steps[at] for y in (x[2] or [None])])
-        low = _small(before)
-        options = [(1, np.array([raw[at]], np.uint32))] if raw[at] is not None and raw[at] < 128 else []
-        if not options:
+        char, score, back = (np.concatenate([x[i] for x in steps[at]]) for i in (0, 1, 3))
+        origin = np.concatenate([np.full(len(x[0]), x[2]) for x in steps[at]])
+        top = np.argsort(-score, kind="stable")[:paths]
+        char, score = char[top], score[top]
+        kept[at] = (char, score, origin[top], back[top])
+        if at == len(raw):
+            break
+        if raw[at] is not None and raw[at] < 128:
+            options = [(1, np.array([raw[at]], np.uint32))]
+        else:
+            options = []
             for n, (codes, table) in alphabet.items():
                 part = raw[at : at + n]
                 if len(part) == n:
@@ -307,31 +313,21 @@ def decode_lattice(raw: list[int | None], writer: str, freq: Frequencies) -> str
                     if fit.any():
                         options.append((n, codes[fit]))
         for n, codes in options:
-            after = _small(codes)
-            through = score[:, None] + _log_pairs(freq, low, after)
-            best = through.argmax(0)
-            links = [(at, int(b), n) for b in best]
-            steps[at + n] = (steps[at + n] or []) + [(codes, through[best, np.arange(len(codes))], links)]
-    if steps[-1] is None:
+            through = (score[:, None] + _log_pairs(freq, _small(char), _small(codes))).ravel()
+            best = np.argpartition(-through, paths)[:paths] if len(through) > paths else np.arange(len(through))
+            steps[at + n].append((codes[best % len(codes)], through[best], at, best // len(codes)))
+    if kept[-1] is None:
         return None
-    end = steps[-1]
-    codes, score, links = np.concatenate([x[0] for x in end]), np.concatenate([x[1] for x in end]), [y for x in end for y in x[2] or [None]]
-    i, chars, spans = int(score.argmax()), [], []
-    while links[i] is not None:
-        at, back, n = links[i]
-        chars.append(chr(codes[i]))
-        spans.append((at, n))
-        codes, _, links = steps[at]
-        i = back
-    chars, spans = chars[::-1], spans[::-1]
-    for i, (at, n) in enumerate(spans):
-        part = raw[at : at + n]
-        if None not in part or all(x is None for x in part):
-            continue
-        codes, table = alphabet[n]
-        fit = np.all([table[:, k] == x for k, x in enumerate(part) if x is not None], axis=0)
-        chars[i] = max((chr(c) for c in codes[fit]), key=lambda c: freq.log("".join([*chars[:i], c, *chars[i + 1 :]])))  # noqa: B023
-    return "".join(chars)
+
+    def spell(i: int) -> str:
+        out, at = [], len(raw)
+        while at > 0:
+            char, _, origin, back = kept[at]
+            out.append(chr(char[i]))
+            at, i = int(origin[i]), int(back[i])
+        return "".join(out[::-1])
+
+    return max(dict.fromkeys(spell(i) for i in range(len(kept[-1][0]))), key=freq.log)
 
 
 def decode_lost(token: str, freq: Frequencies, margin: float = 8.0) -> tuple[str, str] | None:

@@ -323,3 +323,17 @@ def test_a_page_of_broken_noscript_is_read_in_linear_time():
     began = time.perf_counter()
     residue.residue_pages(["<noscript>" * 50_000, "<noscript" * 50_000, "<script " * 50_000, "<head>" * 50_000], tables, main_text.main_tree())
     assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("read", ["cp1252", "latin-1", "cp1251", "cp866", "koi8-u", "cp1250", "gbk"])
+def test_texts_with_lost_bytes_come_back_through_every_reader(spark, read):
+    good = titles(400)
+    freq = mojibake.count_frequencies(spark.createDataFrame([(t,) for t in good], "text string"))
+    restorer = mojibake.Restorer(freq)
+    right = total = 0
+    for t in good[:40]:
+        got = restorer.restore(t.encode().decode(read, "replace"))[0]
+        total += len(t.split())
+        right += sum(a == b for a, b in zip(t.split(), got.split())) if len(t.split()) == len(got.split()) else 0
+        assert restorer.restore(t) == (t, None)
+    assert right / total >= 0.9
