@@ -8,11 +8,10 @@ their ancestors; of repeated attributes the last counts.
 
 from __future__ import annotations
 
-import re
 from html import escape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,17 +149,38 @@ def text_of(root: Node) -> str:
 
 
 def blocks_of(root: Node) -> list[tuple[int, str, int | None, str]]:
-    """(position, kind, level, text) of every block element in document order; texts under two characters take no position."""
-    out = []
-    todo = [root]
+    """(position, kind, level, text) of every block element in document order; texts under two characters take no position.
+
+    One walk: stripped text nodes go to one list, and a block's text is the stretch of that list between its start and
+    end. What stands in a silent element is in a list of its own, as it is no text of the elements around.
+    """
+    found: list[list] = []  # [node, parts, start, end] in document order
+    parts: list[str] = []
+    todo: list = [root]
     while todo:
-        node = todo.pop()
-        kind = KINDS.get(node.tag)
-        if kind:
-            text = text_of(node)
-            if len(text) >= 2:
-                out.append((len(out) + 1, kind, int(node.tag[1]) if kind == "heading" else None, text))
-        todo += [x for x in reversed(node.items) if isinstance(x, Node)]
+        x = todo.pop()
+        if isinstance(x, str):
+            x = x.strip()
+            if x:
+                parts.append(x)
+        elif isinstance(x, Node):
+            if x.tag in KINDS:
+                entry = [x.tag, parts, len(parts), 0]
+                found.append(entry)
+                todo.append(entry)
+            elif x.tag in SILENT and x is not root:
+                todo.append((parts,))
+                parts = []
+            todo += reversed(x.items)
+        elif isinstance(x, list):
+            x[3] = len(parts)
+        elif len(x) == 1:  # back to the list around a silent element
+            parts = x[0]
+    out = []
+    for tag, held, start, end in found:
+        text = " ".join(" ".join(held[start:end]).split())
+        if len(text) >= 2:
+            out.append((len(out) + 1, KINDS[tag], int(tag[1]) if KINDS[tag] == "heading" else None, text))
     return out
 
 
@@ -179,28 +199,44 @@ def clean_page(html: str) -> tuple[str, str, list]:
     prune(root)
     body = find(root, "body")
     kept = body if body is not None else root
-    return re.sub(r"\s+", " ", serialise(kept)), title, blocks_of(kept)
+    return _one_blank(serialise(kept)), title, blocks_of(kept)
+
 
+def _one_blank(text: str) -> str:
+    """Runs of blanks as one space, also at the ends."""
+    out = " ".join(text.split())
+    return (" " if text[:1].isspace() else "") + out + (" " if out and text[-1:].isspace() else "")
 
-@F.pandas_udf(PAGE)
-def page_udf(html: pd.Series) -> pd.DataFrame:
+
+@F.arrow_udf(PAGE)
+def page_udf(html: pa.Array) -> pa.Array:
     """Length of the cleaned html, title and blocks of each page; null html has no blocks."""
-    lengths, titles, blocks = [], [], []
-    for page in html:
-        if page is None:
-            cleaned, title, found = None, None, []
-        else:
-            cleaned, title, found = clean_page(page)
+    lengths, titles, offsets, found = [], [], [0], []
+    for page in html.to_pylist():
+        cleaned, title, blocks = (None, None, []) if page is None else clean_page(page)
         lengths.append(len(cleaned) if cleaned is not None else None)
         titles.append(title)
-        blocks.append([{"position": p, "element_type": k, "hierarchy_level": v, "text": t} for p, k, v, t in found])
-    return pd.DataFrame({"cleaned_length": pd.array(lengths, dtype="Int64"), "title": titles, "blocks": blocks})
+        found += blocks
+        offsets.append(len(found))
+    position, kind, level, text = zip(*found) if found else ((), (), (), ())
+    blocks = pa.StructArray.from_arrays([pa.array(position, pa.int32()), pa.array(kind, pa.string()), pa.array(level, pa.int32()), pa.array(text, pa.string())], ["position", "element_type", "hierarchy_level", "text"])
+    return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.array(titles, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), blocks)], ["cleaned_length", "title", "blocks"])
 
 
-@F.pandas_udf(T.StringType())
-def clean_udf(html: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def clean_udf(html: pa.Array) -> pa.Array:
     """The cleaned html of each page."""
-    return pd.Series([None if p is None else clean_page(p)[0] for p in html], dtype=object)
+    return pa.array([None if p is None else clean_page(p)[0] for p in html.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def title_udf(html: pa.Array) -> pa.Array:
+    """The title of each page by its tree, with a placeholder where there is none."""
+    return pa.array([None if p is None else title_of(parse(p)) for p in html.to_pylist()], pa.string())
+
+
+# One evaluation per page: the optimizer may not repeat them in filters it infers from an explode.
+page_udf = page_udf.asNondeterministic()
 
 
 def title_by_pattern(html: Column) -> Column:

@@ -20,7 +20,7 @@ def squeeze(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """Null, empty or only blanks."""
-    return F.coalesce(F.length(F.regexp_replace(text, _SPACE, "")) == 0, F.lit(True))
+    return F.coalesce(~text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))
 
 
 def shorten(text: Column, size: int = 200) -> Column:

@@ -19,7 +19,7 @@ ELEMENT_TYPES = ("heading", "paragraph", "list_item", "table_cell", "table_heade
 
 def html_valid(html: Column) -> Column:
     """Not blank, and with the start of at least one of the tags html, body, div, p, h1, h2, h3."""
-    return ~is_blank(html) & F.coalesce(F.lower(html).rlike("<(html|body|div|p|h[123])"), F.lit(False))
+    return ~is_blank(html) & F.coalesce(html.rlike("(?i)<(html|body|div|p|h[123])"), F.lit(False))
 
 
 def url_normal(url: Column) -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,13 +32,24 @@ class HashedNgrams:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for row, text in zip(out, texts):
-            for word in (text or "").lower().split():
-                padded = f"<{word}>"
-                for n in range(self.low, self.high + 1):
-                    for i in range(max(1, len(padded) - n + 1)):
-                        h = zlib.crc32(padded[i : i + n].encode("utf-8", "surrogatepass"))
-                        row[h % self.dim] += 1 if h & 0x80000000 else -1
+        for start in range(0, len(texts), 2000):
+            part = [" " + "".join(f"<{w}> " for w in (t or "").lower().split()) for t in texts[start : start + 2000]]
+            codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            rows = np.repeat(np.arange(len(part)), [len(p) for p in part])
+            blank = np.concatenate([[0], np.cumsum(codes == 32)])
+            total = np.zeros(len(part) * self.dim)
+            for n in range(self.low, self.high + 1):
+                m = len(codes) - n + 1
+                if m <= 0:
+                    continue
+                at = np.flatnonzero(blank[n : n + m] == blank[:m])  # windows within one word
+                h = np.full(len(at), n, dtype=np.uint32)
+                for k in range(n):
+                    h = (h ^ codes[at + k]) * np.uint32(0x9E3779B1)
+                    h ^= h >> np.uint32(15)
+                sign = np.where(h & np.uint32(0x80000000), 1.0, -1.0)
+                total += np.bincount(rows[at] * self.dim + (h % np.uint32(self.dim)).astype(np.int64), sign, len(total))
+            out[start : start + len(part)] = total.reshape(-1, self.dim)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0)
 
@@ -50,9 +60,10 @@ class HashedNgrams:
 def embed_column(text: Column, embedder: Embedder) -> Column:
     """Vectors of a text column; the embedder is loaded once per worker, batches are Arrow batches."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(list(embedder.encode(texts.fillna("").tolist())))
+            got = np.ascontiguousarray(embedder.encode([t or "" for t in texts.to_pylist()]), dtype=np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * got.shape[1], pa.int32()), pa.array(got.ravel()))
 
     return run(text)
