@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pagestrata.operators.embed import HashedNgrams, embed_column
 from pagestrata.operators.where import compile_where
 from pagestrata.config import PipelineConfig
 from pagestrata.plans.pipeline import block_rows, parsed_pages, result_rows
-from pagestrata.session import table
+from pagestrata.schemas import CAPTURE, STORED
+from pagestrata.session import shared_dir, table
 from pagestrata.sources import snapshots
 from pagestrata.streaming.ingest import windowed_counts
 
@@ -37,8 +39,12 @@ def knn_top10_l2(spark, sf_dir):
 
 
 def knn_top10_threshold(spark, sf_dir):
-    """A threshold applied after the top ten."""
-    return collection.above(_nearest(spark, sf_dir, table(spark, sf_dir, "embeddings")), 0.05)
+    """A threshold applied after the top ten of the mean of three vectors: some hits stay, some go."""
+    rows = table(spark, sf_dir, "embeddings")
+    three = [r["embedding"] for r in rows.orderBy("vec_id").select("embedding").limit(3).collect()]
+    q = [sum(map(float, x)) / len(three) for x in zip(*three)]
+    hits = collection.above(collection.nearest(rows, q, 10, id_col="vec_id"), 0.1)
+    return hits.select("vec_id", F.round("distance", 5).alias("distance"))
 
 
 def knn_filtered(spark, sf_dir):
@@ -130,10 +136,10 @@ def distinct_sites(spark, sf_dir):
 
 
 def snapshot_filter(spark, sf_dir):
-    """Captures of one year with a least content length."""
+    """Captures of one site in two years with a least content length."""
     meta = table(spark, sf_dir, "snapshot_meta")
     docs = meta.select("meta_id", "content_length", F.struct("timestamp", "domain").alias("wayback_metadata"))
-    return snapshots.filtered(docs, years=[2018], least_length=20_000).select("meta_id", "content_length")
+    return snapshots.filtered(docs, ["vilna-hromada.example", "www.vilna-hromada.example"], [2017, 2018], 20_000).select("meta_id", "content_length")
 
 
 def metadata_filter(spark, sf_dir):
@@ -187,11 +193,75 @@ def squeezed(spark, sf_dir):
     return table(spark, sf_dir, "text_block").select("block_id", text.squeeze(F.col("text")).alias("text")).distinct()
 
 
+def _collection(spark: SparkSession, sf_dir: str) -> collection.Collection:
+    """The stored records as a collection in the shared folder: one append of all records."""
+    held = collection.Collection(spark, "stored", f"{shared_dir(spark).rstrip('/')}/collection-{uuid.uuid4().hex}")
+    held._add_part(_stored_form(table(spark, sf_dir, "stored_record").dropDuplicates(["id"])), False)
+    return held
+
+
+def _stored_form(rows: DataFrame) -> DataFrame:
+    given = {"id", "text", "embedding", "metadata"}
+    return rows.select(*[F.col(f.name) if f.name in given else F.col("metadata")[f.name].try_cast(f.dataType).alias(f.name) for f in STORED.fields])
+
+
 def store_update(spark, sf_dir):
-    """Stored records after replacing the text of headings by id."""
-    rows = table(spark, sf_dir, "stored_record").select("id", "text", F.col("metadata")["element_type"].alias("element_type")).distinct()
-    changed = rows.filter("element_type = 'heading'").withColumn("text", F.concat(F.lit("# "), "text"))
-    return rows.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+    """A collection after two updates by id: headings get a mark, then those on position 1 another."""
+    held = _collection(spark, sf_dir)
+    mark = lambda where, m: held.rows().filter(where).withColumn("text", F.concat(F.lit(m), "text"))
+    held.update(mark("element_type = 'heading'", "# "))
+    held.update(mark("element_type = 'heading' AND position = 1", "! "))
+    return held.rows().select("id", "text", "element_type")
+
+
+def metadata_get(spark, sf_dir):
+    """The first twenty texts of a collection that match a filter, by id."""
+    return _collection(spark, sf_dir).get({"element_type": "list_item"}, 20).select("text", F.col("metadata")["element_type"].alias("element_type"))
+
+
+def collection_search(spark, sf_dir):
+    """The ten records of a collection nearest to the one with the least id, among paragraphs."""
+    held = _collection(spark, sf_dir)
+    first = table(spark, sf_dir, "stored_record").filter(F.size("embedding") == 64).orderBy("id").select("embedding").first()
+    return held.search(list(first["embedding"]), 10, {"element_type": "paragraph"}).select("id", F.round("distance", 4).alias("distance"))
+
+
+def url_formats(spark, sf_dir):
+    """Urls of captures, blocks and bare names with their form or error."""
+    urls = table(spark, sf_dir, "snapshot_meta").select("original_url").unionAll(table(spark, sf_dir, "documents").select("source")).distinct()
+    return urls.select(F.col("original_url").alias("given"), validate.url_format(F.col("original_url")).alias("f")).select("given", "f.url", "f.error")
+
+
+def orphan_names(spark, sf_dir):
+    """Names of pages without blocks and of blocks without pages."""
+    pages = table(spark, sf_dir, "html_document").select(F.col("url").alias("key")).filter("key IS NOT NULL").distinct()
+    metas = table(spark, sf_dir, "text_block").select(F.col("url").alias("key")).filter("key IS NOT NULL").distinct()
+    return snapshots.orphan_names(pages, metas).groupBy("name", "kind").agg(F.count("*").alias("n"))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("html"), "url", F.lit(None).cast(CAPTURE).alias("wayback_metadata"))
+    return validate.validated(docs).select(F.col("error").isNull().alias("success"), "url", "error")
+
+
+def validation_summary(spark, sf_dir):
+    """Summary of a batch of plain texts offered as html."""
+    return stats.batch_summary(_checked(spark, sf_dir))
+
+
+def validation_failures(spark, sf_dir):
+    """Errors of a batch of plain texts offered as html."""
+    return stats.failures(_checked(spark, sf_dir)).groupBy("error").agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls"))
+
+
+def tree_titles(spark, sf_dir):
+    """Titles of pages by their tree."""
+    return table(spark, sf_dir, "html_document").select("page_id", html_tree.title_udf(F.col("html")).alias("title"))
+
+
+def event_slides(spark, sf_dir):
+    """Events by sliding windows of two days and type."""
+    return windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"], "2 days", "1 day").select("window_start", "event_type", "count")
 
 
 def event_windows(spark, sf_dir):
@@ -215,12 +285,6 @@ def chunks(spark, sf_dir):
     return chunked(table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text"), 512)
 
 
-def chunk_counts(spark, sf_dir):
-    """Documents that stay whole, by chunk fields."""
-    got = chunked(table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text"), 512)
-    return got.filter("total_chunks IS NULL").select("doc_id", F.length("text").alias("chars"))
-
-
 def ingest_results(spark, sf_dir):
     """One result row for each page."""
     pages = table(spark, sf_dir, "html_document").select("html", "url", "wayback_metadata")
@@ -247,7 +311,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         knn_top10_l2, knn_top10_threshold, knn_filtered, cosine_all, dimension_check, cyrillic_share, clean_routes, html_validity, url_normalise, document_errors, block_validity, page_titles, stamp_validity, stamp_parts,
         domain_counts, top_domains, year_counts, distinct_sites, snapshot_filter, metadata_filter, pairs_report, file_metadata, path_fields, processing_stats, length_stats, shortened, squeezed, store_update, event_windows, html_blocks,
-        block_kinds, chunks, chunk_counts, ingest_results, ingest_summary, corpus_summary, embedded_blocks,
+        block_kinds, chunks, ingest_results, ingest_summary, corpus_summary, embedded_blocks, metadata_get, collection_search, url_formats, orphan_names, validation_summary, validation_failures, tree_titles, event_slides,
     )
     return {"p6_found": snapshot_diff.p6_found, **{f.__name__: f for f in found}}
 
@@ -269,6 +333,7 @@ _VALID_STAMP = r"""coalesce(regexp_matches(timestamp, '^[0-9]{14}$') AND TRY_CAS
 _CYR = r"len(regexp_extract_all(substr(html, 1, 2000), '[\x{0400}-\x{04FF}]'))"
 _LAT = r"len(regexp_extract_all(substr(html, 1, 2000), '[A-Za-z\x{0130}\x{212A}]'))"
 _IS_CYR = f"coalesce({_CYR} / nullif({_CYR} + {_LAT}, 0) > 0.2, false)"
+_BLANK = r"[\s\x{0B}\x{1c}-\x{1f}\x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _HTML_OK = r"(NOT regexp_matches(html, '^\s*$') AND regexp_matches(lower(html), '<(html|body|div|p|h[123])'))"
 
 
@@ -277,7 +342,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p6_found": snapshot_diff.P6_SQL,
         "knn_top10_l2": _knn(),
-        "knn_top10_threshold": _knn(outer="WHERE round(1 - d, 6) >= 0.05"),
+        "knn_top10_threshold": """
+            WITH q AS (SELECT i, sum(x) / 3 AS x FROM (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 3)) GROUP BY i),
+            v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+            near AS (SELECT vec_id, sum((v.x - q.x) * (v.x - q.x)) AS d FROM v JOIN q USING (i) GROUP BY vec_id ORDER BY d, vec_id LIMIT 10)
+            SELECT vec_id, round(d, 5) AS distance FROM near WHERE 1 - d >= 0.1
+        """,
         "knn_filtered": _knn("WHERE label = 1"),
         "cosine_all": "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS cosine FROM embeddings",
         "dimension_check": "SELECT coalesce(len(embedding) = 64, false) AS fits, count(*) AS n FROM stored_record GROUP BY 1",
@@ -305,7 +375,7 @@ def oracle_sql() -> dict[str, str]:
         "top_domains": "SELECT coalesce(wayback_domain, 'unknown') AS domain, count(*) AS count FROM text_block GROUP BY 1 ORDER BY count DESC, domain LIMIT 10",
         "year_counts": "SELECT coalesce(substr(metadata['wayback_timestamp'], 1, 4), 'unknown') AS year, count(*) AS count FROM stored_record GROUP BY 1",
         "distinct_sites": "SELECT count(DISTINCT coalesce(metadata['wayback_domain'], 'unknown')) AS domains, count(DISTINCT substr(metadata['wayback_timestamp'], 1, 4)) AS years FROM stored_record",
-        "snapshot_filter": "SELECT meta_id, content_length FROM snapshot_meta WHERE TRY_CAST(substr(timestamp, 1, 4) AS INT) = 2018 AND coalesce(content_length, 0) >= 20000",
+        "snapshot_filter": "SELECT meta_id, content_length FROM snapshot_meta WHERE domain IN ('vilna-hromada.example', 'www.vilna-hromada.example') AND TRY_CAST(substr(timestamp, 1, 4) AS INT) IN (2017, 2018) AND coalesce(content_length, 0) >= 20000",
         "metadata_filter": """SELECT DISTINCT id, metadata['element_type'] AS element_type, metadata['wayback_timestamp'] AS wayback_timestamp FROM stored_record
             WHERE metadata['element_type'] IN ('heading', 'list_item') AND (metadata['wayback_timestamp'] >= '20180101000000' OR metadata['element_type'] = 'heading')""",
         "pairs_report": """WITH h AS (SELECT DISTINCT url FROM html_document WHERE url IS NOT NULL), m AS (SELECT DISTINCT url FROM text_block WHERE url IS NOT NULL), b AS (SELECT h.url AS hu, m.url AS mu FROM h FULL JOIN m ON h.url = m.url)
@@ -320,7 +390,67 @@ def oracle_sql() -> dict[str, str]:
         "length_stats": "SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 4) AS mean_chars FROM documents WHERE length(text) >= 100 GROUP BY lang",
         "shortened": "SELECT DISTINCT block_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS shown FROM text_block",
         "squeezed": r"SELECT DISTINCT block_id, trim(regexp_replace(text, '[\s\x{0B}\x{1c}-\x{1f}\x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS text FROM text_block",
-        "store_update": "SELECT DISTINCT id, CASE WHEN metadata['element_type'] = 'heading' THEN '# ' || text ELSE text END AS text, metadata['element_type'] AS element_type FROM stored_record",
+        "store_update": """SELECT id, CASE WHEN kind = 'heading' AND position = '1' THEN '! # ' || text WHEN kind = 'heading' THEN '# ' || text ELSE text END AS text, kind AS element_type
+            FROM (SELECT DISTINCT id, text, metadata['element_type'] AS kind, metadata['position'] AS position FROM stored_record)""",
         "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS count FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
-        "chunk_counts": "SELECT doc_id, length(text) AS chars FROM documents WHERE length(text) <= 512",
+        "metadata_get": "SELECT text, 'list_item' AS element_type FROM (SELECT DISTINCT id, text FROM stored_record WHERE metadata['element_type'] = 'list_item') ORDER BY id LIMIT 20",
+        "collection_search": """
+            WITH q AS (SELECT embedding AS e FROM stored_record WHERE len(embedding) = 64 ORDER BY id LIMIT 1),
+            v AS (SELECT id, any_value(embedding) AS e FROM stored_record WHERE metadata['element_type'] = 'paragraph' AND len(embedding) = 64 GROUP BY id),
+            near AS (SELECT id, list_sum(list_transform(list_zip(v.e, q.e), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM v, q)
+            SELECT id, round(d, 4) AS distance FROM near WHERE d IS NOT NULL AND NOT isnan(d) ORDER BY d, id LIMIT 10
+        """,
+        "path_fields": r"""
+            WITH f AS (SELECT DISTINCT file_path, string_split(file_path, '/') AS parts FROM snapshot_meta),
+            g AS (SELECT *, string_split(regexp_replace(parts[-1], '\.[^.]*$', ''), '_')[1] AS head, list_filter(parts, lambda x: regexp_full_match(x, '[0-9]{14}'))[1] AS stamp,
+                list_filter(parts, lambda x: regexp_full_match(x, '[0-9]{4}') AND TRY_CAST(x AS INT) BETWEEN 1990 AND 2030)[1] AS year_part,
+                substr(list_filter(parts, lambda x: coalesce(TRY_CAST(substr(x, 1, 4) AS INT) BETWEEN 1990 AND 2030, false))[1], 1, 4) AS year_head FROM f),
+            h AS (SELECT *, CASE WHEN regexp_full_match(head, '[0-9]{14}') THEN head END AS led FROM g),
+            y AS (SELECT *, coalesce(substr(led, 1, 4), substr(stamp, 1, 4), year_part, year_head, '2020') AS y FROM h)
+            SELECT file_path, coalesce(led, stamp, y || '0101000000') AS timestamp, y::INT AS year FROM y
+        """,
+        "url_formats": r"""
+            WITH urls AS (SELECT original_url AS given FROM snapshot_meta UNION SELECT source FROM documents),
+            t AS (SELECT given, regexp_matches(given, '^(document|file)://') OR regexp_matches(given, '^(https?|ftp)://[^\s/]+\.[^\s/]+') AS good, regexp_matches(given, '^[a-zA-Z0-9._/-]+$') AS name FROM urls)
+            SELECT given, CASE WHEN good THEN given WHEN name THEN 'document://' || given END AS url, CASE WHEN NOT coalesce(good OR name, false) THEN 'Invalid URL format' END AS error FROM t
+        """,
+        "orphan_names": """
+            WITH h AS (SELECT DISTINCT url FROM html_document WHERE url IS NOT NULL), m AS (SELECT DISTINCT url FROM text_block WHERE url IS NOT NULL),
+            o AS (SELECT url, 'html' AS kind FROM h WHERE url NOT IN (SELECT url FROM m) UNION ALL SELECT url, 'meta' FROM m WHERE url NOT IN (SELECT url FROM h))
+            SELECT string_split(url, '/')[-1] AS name, kind, count(*) AS n FROM o GROUP BY 1, 2
+        """,
+        "validation_summary": f"""
+            WITH d AS (SELECT text AS html, url FROM documents), c AS (SELECT html IS NOT NULL AND {_HTML_OK} AND coalesce(url, '') <> '' AS ok FROM d)
+            SELECT count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok) / count(*) AS success_rate FROM c
+        """,
+        "validation_failures": rf"""
+            WITH d AS (SELECT text AS html, url FROM documents), e AS (
+                SELECT CASE WHEN html IS NULL OR regexp_matches(html, '^{_BLANK}*$') THEN 'HTML content is empty' WHEN NOT {_HTML_OK} THEN 'no HTML tags found' WHEN coalesce(url, '') = '' THEN 'URL is empty' END AS error, url FROM d)
+            SELECT error, count(*) AS n, count(DISTINCT url) AS urls FROM e WHERE error IS NOT NULL GROUP BY error
+        """,
+        "tree_titles": r"""
+            WITH t AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS t, html FROM html_document)
+            SELECT page_id, CASE WHEN html IS NULL THEN NULL WHEN t = '' THEN 'Unknown Title'
+                ELSE replace(replace(replace(replace(replace(replace(replace(t, '&laquo;', '«'), '&raquo;', '»'), '&ndash;', '–'), '&lt;', '<'), '&gt;', '>'), '&#123;', '{'), '&#125;', '}') END AS title FROM t
+        """,
+        "event_slides": """
+            SELECT w::TIMESTAMP AS window_start, event_type, count(*) AS count
+            FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events WHERE ts IS NOT NULL) GROUP BY 1, 2
+        """,
+        "chunks": rf"""
+            WITH d AS (SELECT doc_id, text, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda s: s <> ''), lambda s: [s || '.']) AS pieces
+                FROM documents WHERE text IS NOT NULL),
+            f AS (SELECT doc_id, text, list_reduce(pieces, lambda a, p: CASE
+                WHEN length(a[-1]) + length(p[1]) + 1 <= 512 THEN list_concat(a[:len(a) - 1], [a[-1] || p[1] || ' '])
+                WHEN length(p[1]) > 512 THEN list_reduce(
+                    list_transform(list_filter(regexp_split_to_array(p[1], '{_BLANK}+'), lambda w: w <> ''), lambda w: [w]),
+                    lambda b, w: CASE WHEN length(b[-1]) + length(w[1]) + 1 <= 512 THEN list_concat(b[:len(b) - 1], [b[-1] || w[1] || ' '])
+                        ELSE list_concat(b[:len(b) - 1], CASE WHEN trim(b[-1]) <> '' THEN [trim(b[-1])] ELSE [] END, [w[1] || ' ']) END,
+                    list_concat(a[:len(a) - 1], CASE WHEN trim(a[-1]) <> '' THEN [trim(a[-1])] ELSE [] END, ['']))
+                ELSE list_concat(a[:len(a) - 1], CASE WHEN trim(a[-1]) <> '' THEN [trim(a[-1])] ELSE [] END, [p[1] || ' ']) END, ['']) AS held
+                FROM d WHERE length(text) > 512),
+            g AS (SELECT doc_id, list_concat(held[:len(held) - 1], CASE WHEN trim(held[-1]) <> '' THEN [trim(held[-1])] ELSE [] END) AS out FROM f)
+            SELECT text, doc_id, NULL::INT AS chunk_index, NULL::INT AS total_chunks FROM d WHERE length(text) <= 512
+            UNION ALL SELECT unnest(out), doc_id, (generate_subscripts(out, 1) - 1)::INT, len(out)::INT FROM g
+        """,
     }

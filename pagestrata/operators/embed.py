@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagestrata.errors import ModelError
+
 
 class Embedder(Protocol):
     """Maps texts to unit vectors of one dimension; must be picklable."""
@@ -57,6 +59,16 @@ class HashedNgrams:
         return {"model_name": "hashed-ngrams", "embedding_dimension": self.dim, "device": "cpu", "max_seq_length": None}
 
 
+EMBEDDERS: dict[str, type] = {"hashed-ngrams": HashedNgrams}
+
+
+def embedder_of(name: str) -> Embedder:
+    """A registered embedder by its name in the settings."""
+    if name not in EMBEDDERS:
+        raise ModelError("unknown embedder", name=name)
+    return EMBEDDERS[name]()
+
+
 def embed_column(text: Column, embedder: Embedder) -> Column:
     """Vectors of a text column; the embedder is loaded once per worker, batches are Arrow batches."""
 

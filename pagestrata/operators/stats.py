@@ -32,6 +32,13 @@ def corpus_stats(results: DataFrame) -> DataFrame:
     return sums.withColumns({"compression_ratio": _ratio(F.col("cleaned_chars").cast("double"), F.col("html_chars")), "extraction_ratio": _ratio(F.col("blocks") * 100.0, F.col("cleaned_chars"))})
 
 
+def throughput(results: DataFrame, seconds: float) -> DataFrame:
+    """Documents, documents a second, seconds a document and megabytes of html of a run that took ``seconds``."""
+    sums = results.agg(F.count("*").alias("documents"), (F.coalesce(F.sum("original_html_length"), F.lit(0)) / 1e6).alias("html_mb"))
+    took = F.lit(float(seconds))
+    return sums.withColumns({"documents_per_second": _ratio(F.col("documents").cast("double"), took), "seconds_per_document": _ratio(took, F.col("documents").cast("double"))})
+
+
 def failures(results: DataFrame) -> DataFrame:
     """Urls and errors of failed documents."""
     return results.filter(~F.coalesce(F.col("success"), F.lit(False))).select("url", "error")

@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 
 from pagestrata import __version__
 from pagestrata.config import PipelineConfig, SearchConfig, SnapshotConfig, choose_config
-from pagestrata.errors import ValidationError, guarded
+from pagestrata.errors import SearchError, ValidationError, guarded
 from pagestrata.functions.chunks import chunk_texts, chunked
 from pagestrata.functions.html_tree import page_udf
-from pagestrata.functions.text import clean_route
+from pagestrata.functions.text import clean_route, is_cyrillic
 from pagestrata.functions.validate import Query, validated
 from pagestrata.operators import export, stats
-from pagestrata.operators.collection import Collection
-from pagestrata.operators.embed import Embedder, HashedNgrams, embed_column
+from pagestrata.operators.collection import Collection, nearest
+from pagestrata.operators.embed import Embedder, embed_column, embedder_of
+from pagestrata.operators.prune import Pruner, pruned, pruner_of
 from pagestrata.plans.metrics import Metrics
 from pagestrata.schemas import CAPTURE, CAPTURE_COLUMNS, DOCUMENT, RESULT
 from pagestrata.session import stored
 from pagestrata.sources import snapshots as sources
 
 
+DEFAULTS = SearchConfig()
+
+
 def as_documents(docs: DataFrame) -> DataFrame:
     """Documents with all columns the plan needs: url, capture and index may be absent."""
     for name, kind in (("url", "string"), ("wayback_metadata", CAPTURE), ("document_index", "bigint")):
@@ -35,15 +39,16 @@ def as_documents(docs: DataFrame) -> DataFrame:
     return docs.select("document_index", "html", "url", F.col("wayback_metadata").cast(CAPTURE).alias("wayback_metadata"))
 
 
-def parsed_pages(docs: DataFrame, config: PipelineConfig, force_basic: bool = False) -> DataFrame:
+def parsed_pages(docs: DataFrame, config: PipelineConfig, force_basic: bool = False, pruner: Pruner | None = None) -> DataFrame:
     """Valid documents with route, cleaned length and blocks; faulty ones with their error.
 
-    The ai route is a hook: without a model its pages are cleaned by the basic rules, as all others are.
+    Pages of the ai route go through ``pruner`` first; without one they are cleaned by the basic rules, as all others are.
     """
     docs = validated(as_documents(docs))
     route = clean_route(F.col("html"), F.col("wayback_metadata").isNotNull(), force_basic, config.prefer_basic_cleaning, config.cyrillic_detection_threshold)
-    page = page_udf(F.when(F.col("error").isNull(), F.col("html")))
-    return docs.withColumn("route", route).withColumn("page", page)
+    docs = docs.withColumn("route", route)
+    page = page_udf(F.when(F.col("error").isNull(), pruned(F.col("html"), F.col("route.route"), pruner)))
+    return docs.withColumn("page", page)
 
 
 def result_rows(pages: DataFrame, config: PipelineConfig, dim: int, archived: bool = False) -> DataFrame:
@@ -76,9 +81,10 @@ def embedded_blocks(blocks: DataFrame, embedder: Embedder) -> DataFrame:
 class Pipeline:
     """Ingest and search over one collection."""
 
-    def __init__(self, spark: SparkSession, config: PipelineConfig | None = None, embedder: Embedder | None = None, **changes):
+    def __init__(self, spark: SparkSession, config: PipelineConfig | None = None, embedder: Embedder | None = None, pruner: Pruner | None = None, **changes):
         self.spark, self.config = spark, (config or PipelineConfig()).with_(**changes)
-        self.embedder = embedder or HashedNgrams()
+        self.embedder = embedder or embedder_of(self.config.embedding_model)
+        self.pruner = pruner or pruner_of(self.config.html_pruner_model)
         self.collection = Collection(spark, self.config.collection_name, self.config.persist_directory)
         self.metrics = Metrics()
 
@@ -99,7 +105,7 @@ class Pipeline:
         if strict:
             validated(as_documents(docs), strict=True)
         with self.metrics.stage("ingest"):
-            pages = stored(parsed_pages(docs, self.config, force_basic), "pages")
+            pages = stored(parsed_pages(docs, self.config, force_basic, self.pruner), "pages")
             self.collection.add(embedded_blocks(chunked(block_rows(pages), self.config.max_chunk_size), self.embedder))
             results = stored(result_rows(pages, self.config, self.embedder.dim, archived), "results")
         if self.config.enable_metrics:
@@ -128,8 +134,10 @@ class Pipeline:
         """Ingest html files whose metadata stand in their paths."""
         return self.process_documents(sources.path_documents(self.spark, directory, least), True, archived=True)
 
-    def search(self, query: str, n_results: int = 10, where: Mapping | None = None, threshold: float = 0.0) -> DataFrame:
-        """The nearest chunks to a text."""
+    def search(self, query: str, n_results: int | None = None, where: Mapping | None = None, threshold: float | None = None) -> DataFrame:
+        """The nearest chunks to a text; number and threshold default to the search settings."""
+        n_results = DEFAULTS.default_n_results if n_results is None else n_results
+        threshold = DEFAULTS.similarity_threshold if threshold is None else threshold
         q = Query(query, n_results, dict(where) if where else None, threshold)
         vector = self.embedder.encode([q.text])[0]
         return self.collection.search(vector.tolist(), q.n_results, q.where, q.threshold)
@@ -145,6 +153,14 @@ class Pipeline:
             where["$and"] = [{"wayback_timestamp": {"$gte": f"{year}0101000000"}}, {"wayback_timestamp": {"$lt": f"{year + 1}0101000000"}}]
         return self.search(query, n_results, where)
 
+    def search_ukrainian(self, query: str, n_results: int = 10) -> DataFrame:
+        """Search among archived chunks whose text is mostly Cyrillic; an empty collection is an error."""
+        if self.collection.rows().isEmpty():
+            raise SearchError("the collection is empty", name=self.collection.name)
+        vector = self.embedder.encode([Query(query, n_results).text])[0].tolist()
+        rows = self.collection.rows().filter(is_cyrillic(F.col("text"), self.config.cyrillic_detection_threshold))
+        return nearest(rows, vector, n_results).select("text", "metadata", "distance", "similarity_score", "id")
+
     def search_by_metadata(self, where: Mapping | None = None, limit: int | None = None) -> DataFrame:
         """Chunks that match a filter."""
         return self.collection.get(where, limit)
@@ -190,5 +206,4 @@ class Pipeline:
         self.spark.catalog.clearCache()
 
 
-DEFAULTS = SearchConfig()
 __all__ = ["DEFAULTS", "DOCUMENT", "Pipeline"]

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagestrata.functions.html_tree import title_udf
 from pagestrata.functions.stamps import stamp_year
 from pagestrata.functions.text import is_blank
 from pagestrata.schemas import CAPTURE, META_FILE
@@ -99,10 +100,24 @@ def paired(html: DataFrame, meta: DataFrame) -> DataFrame:
 
 def unpaired(html: DataFrame, fixed_domain: bool = False) -> DataFrame:
     """Html files with metadata derived from their names; a metadata file beside them is not looked at."""
-    meta = synthetic_metadata(F.col("path"), F.col("name"), fixed_domain)
+    meta = synthetic_metadata(F.col("path"), F.col("name"), fixed_domain).withField("title", title_udf(F.col("html")))
     fine = html.filter(~is_blank(F.col("html"))).withColumn("m", meta)
     size = F.length("html")
-    return fine.select("html", F.col("m.original_url").alias("url"), F.col("m").cast(CAPTURE).alias("wayback_metadata"), size.cast("long").alias("content_length"), "path", F.lit(None).cast("string").alias("meta_path"), F.col("size").alias("html_file_size"), size.alias("html_content_length"))
+    return fine.select("html", F.col("m.original_url").alias("url"), F.col("m").cast(CAPTURE).alias("wayback_metadata"), size.cast("long").alias("content_length"), "path", F.lit(None).cast("string").alias("meta_path"), F.col("size").alias("html_file_size"), size.alias("html_content_length"), F.col("modified").alias("file_modified_time"), F.lit("synthetic").alias("metadata_source"))
+
+
+def scan_counts(html: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """One row on a scan: files, those that give a document, and errors: blank pages, broken metadata, pages without any."""
+    rows = html.select("key", is_blank(F.col("html")).alias("blank"))
+    if meta is None:
+        rows = rows.withColumns({"broken": F.lit(False), "alone": F.lit(False)})
+    else:
+        rows = rows.join(meta.select("key", F.col("meta").isNull().alias("broken")), "key", "left").withColumn("alone", F.col("broken").isNull())
+    bad = F.col("blank") | F.coalesce("broken", F.lit(False))
+    counts = rows.agg(
+        F.count("*").alias("total"), F.count_if(~bad & ~F.col("alone")).alias("processed"), F.count_if(bad).alias("errors"), F.count_if("blank").alias("blank_pages"), F.count_if("broken").alias("broken_metadata"), F.count_if("alone").alias("without_metadata")
+    )
+    return counts.withColumn("success_rate", F.coalesce(F.try_divide(F.col("processed") * 100.0, F.col("processed") + F.col("errors")), F.lit(0.0)))
 
 
 def snapshots(spark: SparkSession, directory: str, require_metadata: bool = False, fixed_domain: bool = False) -> DataFrame:
@@ -144,7 +159,7 @@ def filtered(docs: DataFrame, domains=(), years=(), least_length: int | None = 0
 
 
 def pair_report(html_keys: DataFrame, meta_keys: DataFrame, names: int = 1000) -> DataFrame:
-    """One row: files of both kinds, pairs, orphans of both kinds with up to ``names`` of their names (a report), and validity."""
+    """One row: files of both kinds, pairs, orphans of both kinds with up to ``names`` of their names (a report; :func:`orphan_names` gives all), and validity."""
     both = html_keys.select("key", F.lit(True).alias("h")).join(meta_keys.select("key", F.lit(True).alias("m")), "key", "full")
     name = F.element_at(F.split("key", "/"), -1)
     sums = both.agg(F.count_if("h").alias("total_html_files"), F.count_if("m").alias("total_meta_files"), F.count_if(F.col("h") & F.col("m")).alias("paired_files"), F.count_if(F.col("h") & F.col("m").isNull()).alias("orphaned_html"), F.count_if(F.col("m") & F.col("h").isNull()).alias("orphaned_meta"))
@@ -157,6 +172,13 @@ def pair_report(html_keys: DataFrame, meta_keys: DataFrame, names: int = 1000) -
     return out.withColumn("error", F.when(~F.col("is_valid"), F.lit("No complete HTML-metadata pairs found")))
 
 
+def orphan_names(html_keys: DataFrame, meta_keys: DataFrame) -> DataFrame:
+    """(name, kind) of every html file without metadata ('html') and every metadata file without html ('meta'), all of them."""
+    both = html_keys.select("key", F.lit(True).alias("h")).join(meta_keys.select("key", F.lit(True).alias("m")), "key", "full")
+    lone = both.filter("h IS NULL OR m IS NULL")
+    return lone.select(F.element_at(F.split("key", "/"), -1).alias("name"), F.when(F.col("h"), F.lit("html")).otherwise(F.lit("meta")).alias("kind"))
+
+
 def directory_report(spark: SparkSession, directory: str) -> dict:
     """Whether a directory holds snapshots, with counts and orphans."""
     base = {"directory": directory, "exists": os.path.exists(directory), "is_directory": os.path.isdir(directory)}

@@ -255,3 +255,95 @@ def test_embedder_is_deterministic_and_unit():
     e = HashedNgrams(64)
     v = e.encode(["Слово про громаду", "", "😀"])
     assert (v == e.encode(["Слово про громаду", "", "😀"])).all() and abs((v[0] ** 2).sum() - 1) < 1e-5 and not v[1].any()
+
+
+def stored_rows(spark, ids, text):
+    from pagestrata.schemas import STORED
+
+    return spark.createDataFrame([tuple(i if f.name == "id" else text if f.name == "text" else None for f in STORED.fields) for i in ids], STORED)
+
+
+def test_updates_cost_their_own_rows_and_the_latest_wins(spark, tmp_path):
+    held = Collection(spark, "parts", "file://" + str(tmp_path))
+    held._add_part(stored_rows(spark, [f"i{n}" for n in range(300)], "old"), False)
+    first = held.store.size(held._data() + "/part-0")
+    for k in range(3):
+        held.update(stored_rows(spark, ["i1", f"new{k}"], f"text {k}"))
+    assert held.store.size(held._data() + "/part-0") == first and held.store.size(held._data() + "/part-3") < first
+    got = {r["id"]: r["text"] for r in held.rows().collect()}
+    assert len(got) == 303 and held.rows().count() == 303 and got["i1"] == "text 2" and got["i2"] == "old" and got["new0"] == "text 0"
+    held._add_part(stored_rows(spark, ["i1"], "added later"), False)  # an append replaces nothing
+    assert sorted(r["text"] for r in held.rows().filter("id = 'i1'").collect()) == ["added later", "text 2"]
+    held.compact()
+    assert held.rows().count() == 304 and held.vacuum() == ["v1"] and held.rows().count() == 304
+    held.reset()
+    assert held.rows().count() == 0
+    held.drop()
+    assert not held.store.exists(held.path)
+
+
+def test_many_small_parts_are_compacted(spark, tmp_path):
+    held = Collection(spark, "many", str(tmp_path))
+    held.MANY = 3
+    for k in range(6):
+        held.update(stored_rows(spark, [f"i{k}", "same"], f"text {k}"))
+    assert held._state()["version"] > 1 and held.rows().count() == 7
+    assert [r["text"] for r in held.rows().filter("id = 'same'").collect()] == ["text 5"]
+
+
+def test_a_pruner_changes_only_short_pages_of_the_ai_route(spark):
+    class Shouting:
+        """A pruner that keeps one paragraph; it fails on pages that ask for it."""
+
+        def prune(self, pages):
+            if any("FAIL" in p for p in pages):
+                raise ValueError("no")
+            return ["<p>pruned page</p>" for _ in pages]
+
+    from pagestrata.config import PipelineConfig
+    from pagestrata.plans.pipeline import block_rows, parsed_pages
+
+    pages = [("a", "<p>plain english page</p>"), ("b", "<p>" + "long english page " * 400 + "</p>"), ("c", "<p>українська сторінка про громаду</p>")]
+    texts = lambda rows, pruner: {r["url"]: r["text"][:12] for r in block_rows(parsed_pages(spark.createDataFrame(rows, "url string, html string"), PipelineConfig(), pruner=pruner)).collect()}
+    assert texts(pages, Shouting()) == {"document://a": "pruned page", "document://b": "long english", "document://c": "українська с"}
+    assert texts(pages, None)["document://a"] == "plain englis"
+    assert texts([("a", "<p>FAIL to prune</p>")], Shouting()) == {"document://a": "FAIL to prun"}
+
+
+def test_settings_choose_models(spark, tmp_path):
+    from pagestrata.errors import ModelError, SearchError
+    from pagestrata.plans.pipeline import Pipeline
+
+    with pytest.raises(ModelError):
+        Pipeline(spark, persist_directory=str(tmp_path), embedding_model="none such")
+    with pytest.raises(ModelError):
+        Pipeline(spark, persist_directory=str(tmp_path), html_pruner_model="none such")
+    pipe = Pipeline(spark, persist_directory=str(tmp_path))
+    with pytest.raises(SearchError):
+        pipe.search_ukrainian("громада села")
+    pipe.process_documents([{"html": "<p>громада нашого села</p>", "url": "u"}, {"html": "<p>our english village</p>", "url": "e"}])
+    assert [r["text"] for r in pipe.search_ukrainian("громада села").collect()] == ["громада нашого села"]
+    assert pipe.search("громада села").count() == 2
+
+
+def test_scans_are_counted_and_titled(spark, tmp_path):
+    folder = tmp_path / "20200101000000"
+    folder.mkdir()
+    (folder / "a-b.com_x.html").write_text("<html><head><title> A &amp; B </title></head><p>hello</p></html>")
+    (folder / "a-b.com_x.html.meta.json").write_text('{"original_url": "https://a-b.com/x"}')
+    (folder / "c.com_y.html").write_text("  ")
+    (folder / "d.com_z.html").write_text("<p>z</p>")
+    (folder / "d.com_z.html.meta.json").write_text("{broken")
+    html, meta = snapshots.html_files(spark, str(tmp_path)), snapshots.meta_files(spark, str(tmp_path))
+    got = snapshots.scan_counts(html, meta).first().asDict()
+    assert got == {"total": 3, "processed": 1, "errors": 2, "blank_pages": 1, "broken_metadata": 1, "without_metadata": 1, "success_rate": pytest.approx(100 / 3)}
+    assert snapshots.scan_counts(html).first()["processed"] == 2
+    titles = {r["path"].rsplit("/", 1)[1]: r["wayback_metadata"]["title"] for r in snapshots.snapshots(spark, str(tmp_path)).collect()}
+    assert titles == {"a-b.com_x.html": "A & B", "d.com_z.html": "Unknown Title"}
+    assert {tuple(r) for r in snapshots.orphan_names(html.select("key"), meta.select("key")).collect()} == {("c.com_y.html", "html")}
+
+
+def test_throughput(spark):
+    rows = spark.createDataFrame([(1_000_000,), (None,)], "original_html_length long")
+    assert stats.throughput(rows, 4.0).first().asDict() == {"documents": 2, "html_mb": 1.0, "documents_per_second": 0.5, "seconds_per_document": 2.0}
+    assert stats.throughput(rows.limit(0), 0.0).first()["documents_per_second"] == 0.0
