@@ -291,9 +291,9 @@ def prefix_postings(sets: DataFrame, t: float, hot: np.ndarray, hot_counts: np.n
         return pa.table({"token": tokens.astype(np.int64), "sig": sig[at], "n": n[at].astype(np.int32), "pos": pos.astype(np.int32), "df": df.astype(np.int64)})
 
     narrow = sets.select("sig", "n", "tokens")
-    shared = narrow.mapInArrow(spread, "bucket int, tokens binary, owners binary, short boolean, sigs binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, _HOME)
+    shared = narrow.mapInArrow(spread, "bucket int, tokens binary, owners binary, short boolean, sigs binary").repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(count, _HOME)
     header = narrow.mapInArrow(heads, _HOME)
-    return shared.unionAll(header).repartition(buckets, "home").groupBy("home").applyInArrow(prefixes, "token bigint, sig bigint, n int, pos int, df bigint")
+    return shared.unionAll(header).repartitionById(buckets, F.col("home")).groupBy("home").applyInArrow(prefixes, "token bigint, sig bigint, n int, pos int, df bigint")
 
 
 def block_pairs(n: np.ndarray, pos: np.ndarray, t: float, group: np.ndarray | None = None, block: int = 16, at_once: int = 2048):
