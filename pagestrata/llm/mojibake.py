@@ -283,8 +283,8 @@ def lost_bytes(token: str, reader: str) -> list[int | None] | None:
     return out
 
 
-def decode_lattice(raw: list[int | None], writer: str, freq: Frequencies, paths: int = 192) -> str | None:
-    """The likeliest text of bytes with wildcards: a Viterbi search by character pairs that keeps the ``paths`` best at every byte, ranked at the end by word frequencies."""
+def decode_lattice(raw: list[int | None], writer: str, freq: Frequencies, paths: int = 192, ranked: int = 64) -> str | None:
+    """The likeliest text of bytes with wildcards: a Viterbi search by character pairs that keeps the ``paths`` best at every byte; the ``ranked`` best at the end are ranked by word frequencies."""
     alphabet = _alphabet(freq, writer)
     steps: list[list] = [[] for _ in range(len(raw) + 1)]  # at each byte: parts (character, score, byte before, path before)
     steps[0] = [(np.array([32], np.uint32), np.zeros(1), -1, np.array([-1]))]
@@ -327,34 +327,43 @@ def decode_lattice(raw: list[int | None], writer: str, freq: Frequencies, paths:
             at, i = int(origin[i]), int(back[i])
         return "".join(out[::-1])
 
-    return max(dict.fromkeys(spell(i) for i in range(len(kept[-1][0]))), key=freq.log)
+    return max(dict.fromkeys(spell(i) for i in range(min(ranked, len(kept[-1][0])))), key=freq.log)
 
 
-def decode_lost(token: str, freq: Frequencies, margin: float = 8.0) -> tuple[str, str] | None:
-    """(channel, text) of a token both misread and with lost bytes; null where its characters stand as they were written."""
+def decode_lost(token: str, freq: Frequencies, margin: float = 8.0, channel: str | None = None) -> tuple[str, str] | None:
+    """(channel, text) of a token both misread and with lost bytes; null where its characters stand as they were written.
+
+    ``channel`` is one through which other tokens of the text came: where it wins, no other is tried.
+    """
     known = [x for x in token.split(LOST) if x]
     if not any(ord(c) > 127 for x in known for c in x) or not any(c.isalnum() for x in known for c in x):
         return None
-    own = max(sum(freq.log(x) for x in known), freq.log(fill_lost(token, freq)))
+    filled = fill_lost(token, freq)
+    if LOST not in filled and all(freq.count(w) >= 2 for w in _WORD.findall(filled.lower())):
+        return None  # with letters in its gaps it is of known words
+    own = max(sum(freq.log(x) for x in known), freq.log(filled))
     best, got = own + margin, None
-    for reader in READ_AS:
+    pairs = [(writer, reader) for reader in READ_AS for writer in ("utf-8", *WRITTEN_IN)]
+    first = [p for p in pairs if f"{p[0]}>{'gbk' if p[1] == 'gb18030' else p[1]}" == channel]
+    for place, (writer, reader) in enumerate(first + pairs):
+        if place == len(first) and got:
+            break
         raw = lost_bytes(token, reader)
         if raw is None:
             continue
         known_bytes = sum(x is not None and x > 127 for x in raw)
-        for writer in ("utf-8", *WRITTEN_IN):
-            # Only UTF-8 has a form of its own; elsewhere the known bytes must outweigh the free ones.
-            if writer == reader or writer != "utf-8" and (reader == "gb18030" or known_bytes < 2 * raw.count(None)):
-                continue
-            text = decode_lattice(raw, writer, freq)
-            if text is None or not any(ord(c) > 127 for c in text):
-                continue
-            if writer != "utf-8" and not any(a != LOST and a != b and a.isalnum() for a, b in zip(token, text)):
-                continue  # the known characters stay as they are
-            sure = known_bytes if writer == "utf-8" else 0
-            score = freq.log(text) + (3.0 * (sure // 2) + 4.0 if sure else 0.0)
-            if score > best and (sure >= 4 or not sure):
-                best, got = score, (f"{writer}>{'gbk' if reader == 'gb18030' else reader}", text)
+        # Only UTF-8 has a form of its own; elsewhere the known bytes must outweigh the free ones.
+        if writer == reader or writer != "utf-8" and (reader == "gb18030" or known_bytes < 2 * raw.count(None)):
+            continue
+        text = decode_lattice(raw, writer, freq)
+        if text is None or not any(ord(c) > 127 for c in text):
+            continue
+        if writer != "utf-8" and not any(a != LOST and a != b and a.isalnum() for a, b in zip(token, text)):
+            continue  # the known characters stay as they are
+        sure = known_bytes if writer == "utf-8" else 0
+        score = freq.log(text) + (3.0 * (sure // 2) + 4.0 if sure else 0.0)
+        if score > best and (sure >= 4 or not sure):
+            best, got = score, (f"{writer}>{'gbk' if reader == 'gb18030' else reader}", text)
     return got
 
 
@@ -494,12 +503,14 @@ class Restorer:
     def __init__(self, freq: Frequencies, margin: float = 8.0):
         self.freq, self.margin, self.seen = freq, margin, {}
 
-    def token(self, token: str) -> tuple[str, str] | None:
-        if token not in self.seen:
+    def token(self, token: str, channel: str | None = None) -> tuple[str, str] | None:
+        """The verdict on a token; one with lost bytes is decoded through ``channel`` first."""
+        key = (token, channel) if LOST in token else token
+        if key not in self.seen:
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            self.seen[token] = decode_lost(token, self.freq, self.margin) or ("lost", token) if LOST in token else best_decoding(token, self.freq, self.margin)
-        return self.seen[token]
+            self.seen[key] = decode_lost(token, self.freq, self.margin, channel) or ("lost", token) if LOST in token else best_decoding(token, self.freq, self.margin)
+        return self.seen[key]
 
     def damaged(self, text: str | None) -> bool:
         """Whether a text holds any wrongly decoded token."""
@@ -512,9 +523,11 @@ class Restorer:
         if not text or text.isascii():
             return text, None
         used = {}
+        ways = Counter(got[0] for t in _TOKEN.findall(text) if LOST not in t and (got := self.token(t))) if LOST in text else Counter()
+        way = ways.most_common(1)[0][0] if ways else None
 
         def fix(m: re.Match) -> str:
-            got = self.token(m.group())
+            got = self.token(m.group(), way)
             if not got:
                 return m.group()
             used[got[0]] = 1
