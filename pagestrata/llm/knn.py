@@ -178,15 +178,15 @@ def true_neighbours(classes: DataFrame, trials: pa.Table, k: int) -> tuple[np.nd
     return rows.column("q").to_numpy(), _unit(rows.column("v").combine_chunks()) if len(rows) else np.zeros((0, queries.shape[1])), rows.column("cosine").to_numpy()
 
 
-def visits(book: Codebook, queries: np.ndarray, near: np.ndarray, target: float) -> int:
-    """The least number of nearest cells of the queries that holds ``target`` of their neighbours."""
+def visits(book: Codebook, queries: np.ndarray, near: np.ndarray, target: float, least: int = 6) -> int:
+    """The least number of nearest cells of the queries that holds ``target`` of their neighbours, and not less than ``least``: trials see rare misses badly."""
     if not len(queries):
-        return min(book.cells, 4)
+        return min(book.cells, least)
     own = book.nearest(near.astype(np.float32), 1)[:, 0]
     order = book.nearest(queries.astype(np.float32), book.cells if len(book.rest) == 1 else 4096)
     found = order == own[:, None]
     rank = np.where(found.any(axis=1), found.argmax(axis=1) + 1, book.cells)
-    return int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(target * len(rank))) - 1)])
+    return min(book.cells, max(least, int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(target * len(rank))) - 1)])))
 
 
 def plan_cells(classes: DataFrame, n: int, k: int, floor: float, dim: int, cell_size: int, sample: int, trials: int, target: float, fine: int) -> tuple[Codebook, int]:
@@ -204,7 +204,7 @@ def plan_cells(classes: DataFrame, n: int, k: int, floor: float, dim: int, cell_
     for size in (cell_size, 4 * cell_size, 16 * cell_size):
         book = Codebook(x, max(1, n // size), fine)
         m = visits(book, x[q], near, target)
-        cost = m * (size + 500)  # a visit moves a vector, about the cost of 500 estimates
+        cost = m * (size + 500.0)  # a visit moves a vector, about the cost of 500 estimates
         if best is None or cost < best[0]:
             best = (cost, book, m)
         if m <= 8 or book.cells == 1:
@@ -322,6 +322,9 @@ def most_similar(
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, min_cosine: float = 0.9, **options) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs at ``min_cosine`` or more where one is among the k most similar of the other."""
-    got = most_similar(vectors, k, min_cosine, **options).filter(F.col("cosine") >= min_cosine)
+    """(id_a, id_b), id_a < id_b: pairs at ``min_cosine`` or more where one is among the k most similar of the other.
+
+    Vectors that similar mostly share a cell, so nearly all of them are aimed at.
+    """
+    got = most_similar(vectors, k, min_cosine, **({"target": 0.999} | options)).filter(F.col("cosine") >= min_cosine)
     return got.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

@@ -76,7 +76,7 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, s
     repeats = F.when(F.col("available") > 0, F.col("amount") / F.col("available")).otherwise(0.0)
     plan = plan.withColumn("named", F.col("target_share").isNotNull()).withColumn("repeats", repeats).withColumn("whole", F.floor(F.col("repeats") + 1e-12)).withColumn("rest", F.col("amount") - F.col("whole") * F.col("available"))
     run = F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    drawn = buckets.withColumn("run", run).alias("b").join(F.broadcast(plan).alias("p"), F.expr("b.source <=> p.source")).filter(F.expr("b.run <= p.rest + 0.5")).groupBy("p.source").agg(F.max("bucket").alias("cut"), F.max("run").alias("extra"))
+    drawn = buckets.withColumn("run", run).alias("b").join(plan.alias("p"), F.expr("b.source <=> p.source")).filter(F.expr("b.run <= p.rest + 0.5")).groupBy("p.source").agg(F.max("bucket").alias("cut"), F.max("run").alias("extra"))
     out = plan.alias("p").join(drawn.alias("d"), F.expr("p.source <=> d.source"), "left")
     return out.select("p.source", "named", "documents", "available", "target_share", "max_repeats", "repeats", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"), (F.col("whole") * F.col("available") + F.coalesce("extra", F.lit(0))).cast("bigint").alias("sampled_tokens"))
 
@@ -92,6 +92,6 @@ def report_mix(sizes: DataFrame, targets: DataFrame, total: float | None = None,
 def sample_mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 42) -> DataFrame:
     """(doc_id, source, n_tokens, copies): every document that the mixture takes, with its number of copies."""
     plan = plan_mix(sizes, targets, total, seed).filter("named").select("source", "whole", "cut")
-    got = sizes.withColumn("bucket", _bucket(seed)).alias("s").join(F.broadcast(plan).alias("p"), F.expr("s.source <=> p.source"))
+    got = sizes.withColumn("bucket", _bucket(seed)).alias("s").join(plan.alias("p"), F.expr("s.source <=> p.source"))
     copies = F.col("whole") + (F.col("bucket") <= F.col("cut")).cast("int")
     return got.select("doc_id", "s.source", "n_tokens", copies.cast("int").alias("copies")).filter("copies > 0")

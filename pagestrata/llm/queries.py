@@ -145,4 +145,23 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE r <= 5 AND c >= 0.9
         """,
+        "p2_found": r"""
+            WITH texts AS (
+                SELECT DISTINCT 'block' AS kind, block_id AS id, text FROM text_block
+                UNION SELECT DISTINCT 'page', page_id, regexp_replace(regexp_replace(regexp_replace(html,
+                    '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&#?[a-zA-Z0-9]+;', ' ', 'g') FROM html_document
+            ), worded AS (
+                SELECT kind, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM texts WHERE text IS NOT NULL
+            ), sets AS (
+                SELECT kind, id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM worded
+            ), fit AS (
+                SELECT * FROM sets WHERE len(s) >= CASE kind WHEN 'page' THEN 150 ELSE 20 END
+            ), flat AS (
+                SELECT kind, id, len(s) AS n, hash(unnest(s)) AS h FROM fit
+            ), met AS (
+                SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+                FROM flat a JOIN flat b ON a.kind = b.kind AND a.h = b.h AND a.id < b.id GROUP BY 1, 2, 3
+            )
+            SELECT kind, id_a, id_b FROM met WHERE c >= 0.7 * (na + nb - c) - 1e-9
+        """,
     }
