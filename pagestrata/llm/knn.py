@@ -178,7 +178,7 @@ def true_neighbours(classes: DataFrame, trials: pa.Table, k: int) -> tuple[np.nd
     return rows.column("q").to_numpy(), _unit(rows.column("v").combine_chunks()) if len(rows) else np.zeros((0, queries.shape[1])), rows.column("cosine").to_numpy()
 
 
-def visits(book: Codebook, queries: np.ndarray, near: np.ndarray, target: float, least: int = 6) -> int:
+def visits(book: Codebook, queries: np.ndarray, near: np.ndarray, target: float, least: int = 4) -> int:
     """The least number of nearest cells of the queries that holds ``target`` of their neighbours, and not less than ``least``: trials see rare misses badly."""
     if not len(queries):
         return min(book.cells, least)
