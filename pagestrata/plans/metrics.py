@@ -6,6 +6,7 @@ import functools
 import json
 import logging
 import resource
+import threading
 import time
 from collections import defaultdict
 from contextlib import contextmanager
@@ -49,7 +50,7 @@ class Metrics:
     def summary(self) -> dict:
         done, failed = self.counters.get("documents", 0), self.counters.get("failed", 0)
         return {
-            "total_seconds": time.time() - self.started, "stages": {k: sum(v) for k, v in self.durations.items()}, "counters": dict(self.counters), "success_rate": (done - failed) / done if done else 0.0,
+            "total_seconds": time.time() - self.started, "seconds_per_document": (time.time() - self.started) / done if done else 0.0, "stages": {k: sum(v) for k, v in self.durations.items()}, "counters": dict(self.counters), "success_rate": (done - failed) / done if done else 0.0,
             "peak_memory_mb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, "errors": list(self.errors),
         }
 
@@ -104,3 +105,51 @@ class Profiler:
 
     def summaries(self) -> dict[str, dict]:
         return {k: self.summary(k) for k in list(self.profiles)}
+
+
+def benchmark(f, runs: int = 5, warm: int = 1, *args, **kwargs) -> dict:
+    """Least, median, mean and greatest seconds of ``runs`` calls of a function after ``warm`` uncounted ones, and its last result."""
+    took, result = [], None
+    for i in range(warm + runs):
+        began = time.perf_counter()
+        result = f(*args, **kwargs)
+        if i >= warm:
+            took.append(time.perf_counter() - began)
+    took.sort()
+    return {"runs": runs, "least": took[0], "median": took[len(took) // 2], "mean": sum(took) / len(took), "greatest": took[-1], "result": result}
+
+
+class Sampler:
+    """Samples peak memory and CPU seconds of this process every ``period`` seconds on a thread, from enter to exit."""
+
+    def __init__(self, period: float = 1.0):
+        self.period, self.samples = period, []
+        self._stop = threading.Event()
+
+    def _take(self) -> None:
+        usage = resource.getrusage(resource.RUSAGE_SELF)
+        self.samples.append({"at": time.time(), "peak_memory_mb": usage.ru_maxrss / 1024, "cpu_seconds": usage.ru_utime + usage.ru_stime})
+
+    def _run(self) -> None:
+        while not self._stop.wait(self.period):
+            self._take()
+
+    def __enter__(self) -> Sampler:
+        self._stop.clear()
+        self._take()
+        self._thread = threading.Thread(target=self._run, daemon=True)
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._stop.set()
+        self._thread.join()
+        self._take()
+
+    def summary(self) -> dict:
+        """Seconds, CPU seconds, their ratio and peak memory between the first and the last sample."""
+        if len(self.samples) < 2:
+            return {"seconds": 0.0, "cpu_seconds": 0.0, "cores_busy": 0.0, "peak_memory_mb": 0.0}
+        first, last = self.samples[0], self.samples[-1]
+        seconds, cpu = last["at"] - first["at"], last["cpu_seconds"] - first["cpu_seconds"]
+        return {"seconds": seconds, "cpu_seconds": cpu, "cores_busy": cpu / seconds if seconds else 0.0, "peak_memory_mb": max(s["peak_memory_mb"] for s in self.samples)}

@@ -347,3 +347,23 @@ def test_throughput(spark):
     rows = spark.createDataFrame([(1_000_000,), (None,)], "original_html_length long")
     assert stats.throughput(rows, 4.0).first().asDict() == {"documents": 2, "html_mb": 1.0, "documents_per_second": 0.5, "seconds_per_document": 2.0}
     assert stats.throughput(rows.limit(0), 0.0).first()["documents_per_second"] == 0.0
+
+
+def test_public_names_benchmark_and_sampler():
+    import time
+
+    import pagestrata
+    from pagestrata.plans.metrics import Metrics, Sampler, benchmark
+
+    assert all(getattr(pagestrata, n) is not None for n in pagestrata.__all__) and pagestrata.get_info()["embedders"] == ["hashed-ngrams"]
+    with pytest.raises(AttributeError):
+        pagestrata.nothing_of_the_kind  # noqa: B018
+    calls = []
+    got = benchmark(calls.append, 3, 2, "x")
+    assert len(calls) == 5 and got["runs"] == 3 and 0 <= got["least"] <= got["median"] <= got["greatest"]
+    with Sampler(0.01) as sampler:
+        time.sleep(0.05)
+    assert len(sampler.samples) >= 3 and sampler.summary()["seconds"] > 0 and Sampler().summary()["peak_memory_mb"] == 0
+    metrics = Metrics()
+    metrics.count("documents", 4)
+    assert metrics.summary()["seconds_per_document"] > 0
