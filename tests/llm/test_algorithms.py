@@ -222,6 +222,32 @@ def test_short_and_long_merges_agree():
         assert encode.merge_short(word, v) == encode.merge_long(word, v)
 
 
+@needs_vocabulary
+def test_both_merges_agree_on_long_words():
+    v = encode.Vocabulary(encode.load())
+    rng = random.Random(3)
+    for size in (191, 192, 193, 194, 250, 400, 1000):
+        for letters in (b"abcehinorst", b"aab", " громада".encode(), bytes(range(256))):
+            word = bytes(rng.choice(letters) for _ in range(size))
+            assert encode.merge_short(word, v) == encode.merge_long(word, v)
+    assert encode.merge_short(b"a" * 500, v) == encode.merge_long(b"a" * 500, v)
+
+
+def test_shares_meet_their_targets_within_the_caps(spark):
+    rng = random.Random(8)
+    rows = [(i, "abcd"[i % 4], rng.randint(1, 50)) for i in range(8000)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    goals = {"a": 0.5, "b": 0.25, "c": 0.15, "d": 0.1}
+    targets = spark.createDataFrame([(s, x, 3) for s, x in goals.items()], "source string, target_share double, max_repeats int")
+    for total in (50_000, 120_000, None):
+        got = {r["source"]: r for r in mixing.report_mix(sizes, targets, total).collect()}
+        assert all(abs(r["actual_share"] - goals[s]) < 0.005 and r["repeats"] <= 3 for s, r in got.items())
+    capped = {r["source"]: r for r in mixing.report_mix(sizes, targets.withColumn("max_repeats", F.when(F.col("source") == "a", 1).otherwise(3))).collect()}
+    assert capped["a"]["repeats"] == 1 and capped["a"]["sampled_tokens"] == capped["a"]["tokens_available"]
+    rest = sum(r["sampled_tokens"] for s, r in capped.items() if s != "a")
+    assert all(abs(r["sampled_tokens"] / rest - goals[s] / 0.5) < 0.01 for s, r in capped.items() if s != "a")
+
+
 def test_water_fill():
     got = mixing.water_fill({"a": 100, "b": 10, "c": 1000}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 2, "b": 2, "c": 1}, 300)
     assert got["b"] == 20 and got["a"] == pytest.approx(200) and got["c"] == pytest.approx(80) and sum(got.values()) == pytest.approx(300)
