@@ -4,7 +4,7 @@ Method: for every (site, line) the urls of the site with and without the line st
 other sites with and without the same line; the log-likelihood ratio of this table is large where the
 line belongs to the site. A prompt that most sites share is as frequent outside as inside, and a corpus of
 one site has no outside; hence a second null: the line is on no more urls of its site than an ordinary
-line, whose number of urls is the median over all (site, line) of the corpus. Excess against either null
+line, whose number of urls is the lower quartile over all (site, line) of the corpus. Excess against either null
 counts, at twice the smaller p-value. Benjamini-Hochberg controls the false-discovery rate over all
 (site, line), also those too rare to be reported. Significant excess lines on at least ``min_urls`` urls
 are removed by an anti-join, and what is left is put together by position.
@@ -83,11 +83,11 @@ def excess_lines(keys: DataFrame, min_urls: int = 10, fdr: float = 0.01) -> Data
     seen = keys.filter("h1 IS NOT NULL AND u IS NOT NULL").select("s", "h1", "h2", "u").distinct()
     lines = stored(seen.groupBy("s", "h1", "h2").agg(F.count("*").alias("urls")), "site-line-counts")
     sites = stored(keys.filter("u IS NOT NULL").select("s", "u").distinct().groupBy("s").agg(F.count("*").alias("site_urls")), "site-urls")
-    # The family, its median and all urls: three numbers.
+    # The family, its lower quartile and all urls: three numbers.
     by_count = lines.groupBy("urls").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy("urls"))  # as many rows as there are different counts
     whole = by_count.select("urls", upto.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("tests"))
-    ordinary, tests = whole.filter("2 * upto >= tests").agg(F.min("urls"), F.max("tests")).first()
+    ordinary, tests = whole.filter("4 * upto >= tests").agg(F.min("urls"), F.max("tests")).first()
     everywhere = sites.agg(F.sum("site_urls")).first()[0] or 0
     can = lines.filter(F.col("urls") >= min_urls)
     outside = lines.join(can.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.sum("urls").alias("all_urls"))
